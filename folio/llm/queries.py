@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import exact_dedup
+from folio.llm import decontaminate, exact_dedup, ngram_join
 from folio.sources.tables import table
 
 
@@ -15,10 +15,24 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(table(spark, sf_dir, "documents"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of `documents` whose word-bigram sets have a Jaccard similarity of 0.6 or more."""
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item of `benchmark` that a document contains to 60 % or more in one window."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op9_decontamination": op9_decontamination,
 }
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op6_ngram_jaccard_join": ngram_join.sql(),
+    "op9_decontamination": decontaminate.sql(),
 }
