@@ -6,15 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import decontaminate, exact_dedup, ngram_join
+from folio.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join
 from folio.sources.tables import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, confidence and rejection of every document."""
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Redundant copies of `documents` and the document kept in their place."""
     return exact_dedup.copies(table(spark, sf_dir, "documents"))
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and whether decoding them gives the text back."""
+    return byte_bpe.encoded(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of `documents` whose word-bigram sets have a Jaccard similarity of 0.6 or more."""
     return ngram_join.similar(table(spark, sf_dir, "documents"))
@@ -26,7 +36,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
+    "op4_byte_bpe": op4_byte_bpe,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
     "op9_decontamination": op9_decontamination,
 }
