@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join
+from folio.llm import byte_bpe, decontaminate, exact_dedup, html_extract, language_id, line_dedup, ngram_join, toxicity, url_filter
 from folio.sources.tables import table
 
 
@@ -20,31 +20,56 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its source's boilerplate lines, and how many those were."""
+    return line_dedup.cleaned(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_dropped")
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and whether decoding them gives the text back."""
     return byte_bpe.encoded(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The content of every page."""
+    return html_extract.extracted(table(spark, sf_dir, "pages"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pairs of `documents` whose word-bigram sets have a Jaccard similarity of 0.6 or more."""
     return ngram_join.similar(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents found toxic, with their scores."""
+    return toxicity.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item of `benchmark` that a document contains to 60 % or more in one window."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's URL with its probability to be unwanted, and the decision."""
+    return url_filter.judged(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_html_extraction": op5_html_extraction,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
+    "op10_url_filter": op10_url_filter,
 }
 
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op3_line_dedup": line_dedup.SQL,
     "op6_ngram_jaccard_join": ngram_join.sql(),
     "op9_decontamination": decontaminate.sql(),
 }
