@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import byte_bpe, decontaminate, exact_dedup, html_extract, language_id, line_dedup, ngram_join, toxicity, url_filter
+from folio.llm import byte_bpe, decontaminate, exact_dedup, html_extract, language_id, line_dedup, ngram_join, repeats, toxicity, url_filter
 from folio.sources.tables import table
 
 
@@ -40,6 +40,11 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every maximal repeat of 50 words or more in `documents`, with all its occurrences."""
+    return repeats.maximal(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents found toxic, with their scores."""
     return toxicity.flagged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_html_extraction": op5_html_extraction,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_url_filter": op10_url_filter,
