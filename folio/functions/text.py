@@ -84,9 +84,13 @@ def count_of(text: Column, pattern: str) -> Column:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """All runs of `n` words joined by blanks; none of fewer words."""
+    """All runs of `n` words joined by blanks; none of fewer words.
+
+    Elements are read one by one: `slice` copies the whole array at every call.
+    """
     size = F.size(words)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
+    run = lambda i: F.concat_ws(" ", *(F.get(words, i + k) for k in range(n)))
+    return F.when(size >= n, F.transform(F.sequence(F.lit(0), size - n), run)).otherwise(F.array().cast("array<string>"))
 
 
 def dot(a: Column, b: Column) -> Column:

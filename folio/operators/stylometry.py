@@ -24,7 +24,7 @@ def _found(tokens: Column, words: list[str]) -> Column:
 def perplexity(docs: DataFrame) -> DataFrame:
     """(doc_id, perplexity): 3.5 times two to the entropy of the lower text's character pairs; 30 below 50 characters."""
     chars = docs.select("doc_id", F.length("text").alias("n"), F.filter(F.split(F.lower("text"), ""), lambda c: c != "").alias("c"))
-    pairs = chars.where("n >= 50").select("doc_id", F.explode(F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), F.concat)).alias("p"))
+    pairs = chars.where("n >= 50").select("doc_id", F.explode(F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda a, b: F.concat(a, b))).alias("p"))
     counts = pairs.groupBy("doc_id", "p").agg(F.count(F.lit(1)).cast("double").alias("k"))
     entropy = counts.groupBy("doc_id").agg((F.log2(F.sum("k")) - F.sum(F.col("k") * F.log2("k")) / F.sum("k")).alias("h"))
     return docs.select("doc_id").join(entropy, "doc_id", "left").select("doc_id", F.coalesce(F.round(F.lit(3.5) * F.pow(F.lit(2.0), F.col("h")), 2), F.lit(30.0)).alias("perplexity"))

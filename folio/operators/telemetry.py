@@ -85,12 +85,16 @@ def fallbacks(configs: DataFrame, most: int = 12) -> DataFrame:
     then the layers (4 at least); each is halved.
     """
     kind = "array<struct<eval_batch:int,batch:int,seq:int,layers:int>>"
-    now = "element_at(s, -1)"
-    next_ = f"""CASE WHEN {now}.eval_batch > 1 THEN struct({now}.eval_batch div 2, {now}.batch, {now}.seq, {now}.layers)
-        WHEN {now}.batch > 1 THEN struct({now}.eval_batch, {now}.batch div 2, {now}.seq, {now}.layers)
-        WHEN {now}.seq > 512 THEN struct({now}.eval_batch, {now}.batch, greatest(512, {now}.seq div 2 div 256 * 256), {now}.layers)
-        WHEN {now}.layers > 4 THEN struct({now}.eval_batch, {now}.batch, {now}.seq, greatest(4, {now}.layers div 2)) END"""
-    chain = f"aggregate(sequence(1, {most}), cast(array(struct(eval_batch, batch, seq, layers)) AS {kind}), (s, i) -> CASE WHEN ({next_}) IS NULL THEN s ELSE cast(concat(s, array(cast(({next_}) AS struct<eval_batch:int,batch:int,seq:int,layers:int>))) AS {kind}) END)"
+    names = ("eval_batch", "batch", "seq", "layers")
+    now = {n: f"element_at(s, -1).{n}" for n in names}
+
+    def row(**changed: str) -> str:
+        return "named_struct(" + ", ".join(f"'{n}', cast({changed.get(n, now[n])} AS int)" for n in names) + ")"
+
+    next_ = f"""CASE WHEN {now["eval_batch"]} > 1 THEN {row(eval_batch=f"{now['eval_batch']} div 2")} WHEN {now["batch"]} > 1 THEN {row(batch=f"{now['batch']} div 2")}
+        WHEN {now["seq"]} > 512 THEN {row(seq=f"greatest(512, {now['seq']} div 2 div 256 * 256)")} WHEN {now["layers"]} > 4 THEN {row(layers=f"greatest(4, {now['layers']} div 2)")} END"""
+    first = "named_struct(" + ", ".join(f"'{n}', {n}" for n in names) + ")"
+    chain = f"aggregate(sequence(1, {most}), cast(array({first}) AS {kind}), (s, i) -> CASE WHEN ({next_}) IS NULL THEN s ELSE cast(concat(s, array({next_})) AS {kind}) END)"
     rows = configs.select("id", F.posexplode(F.expr(chain)).alias("attempt", "c"))
     return rows.select("id", "attempt", "c.*")
 

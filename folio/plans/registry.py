@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.plans import corpus
+from folio.plans import corpus, style, training
 
-QUERIES = dict(corpus.QUERIES)
-ORACLES = dict(corpus.ORACLES)
+QUERIES = corpus.QUERIES | style.QUERIES | training.QUERIES
+ORACLES = corpus.ORACLES | style.ORACLES | training.ORACLES
