@@ -27,8 +27,9 @@ from folio.llm.words import _MIX, folded, pieces
 SAMPLE = 3000
 #: Buckets of subwords (a power of two), width of the embeddings, sizes of subwords in bytes.
 BUCKETS, WIDTH, SIZES = 1 << 15, 16, (2, 3, 4)
-#: Share of errors among accepted held-out texts that sets the least confidence.
-ERRORS = 0.01
+#: Share of errors among accepted held-out texts that sets the least confidence; the highest
+#: it may be: a text whose best language is more likely than all others together is accepted.
+ERRORS, CEILING = 0.01, 0.5
 
 _LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 
@@ -71,7 +72,7 @@ def subwords(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
         code = code[keep] * np.uint32(int(_MIX[size]) & 0xFFFFFFFF | 1)
         code ^= code >> np.uint32(15)
         found.append((code * np.uint32(0x85EBCA6B)) >> np.uint32(32 - BUCKETS.bit_length() + 1))
-        where.append(np.searchsorted(ends, keep, "left"))
+        where.append(np.searchsorted(ends, keep, "right"))
     return np.concatenate(found), np.concatenate(where)
 
 
@@ -133,7 +134,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5,
     sure, wrong = chance.max(1), chance.argmax(1) != truth
     order = np.argsort(-sure)
     good = np.flatnonzero(np.cumsum(wrong[order]) <= ERRORS * np.arange(1, len(order) + 1))
-    model.least = float(min(0.9, sure[order][good[-1]])) if len(good) else 0.9
+    model.least = float(min(CEILING, sure[order][good[-1]])) if len(good) else CEILING
     return model
 
 
