@@ -33,6 +33,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    spark._jvm.System.gc()  # Spark deletes a finished job's shuffle files once its objects are collected
     return spark.read.schema(df.schema).parquet(path)
 
 
