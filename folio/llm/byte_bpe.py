@@ -29,8 +29,8 @@ from folio.llm.words import pieces
 #: A file of base64 tokens and ranks, and the pattern that splits texts for it.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: Pieces whose tokens a worker remembers; the memory starts anew when it is full.
-REMEMBERED = 1 << 18
+#: Pieces, and pairs of tokens, that a worker remembers; each memory starts anew when it is full.
+REMEMBERED = 1 << 17
 
 
 class Codec(dict):
@@ -120,7 +120,7 @@ class Codec(dict):
     def __missing__(self, text: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        if len(self.follows) >= 4 * REMEMBERED:
+        if len(self.follows) >= REMEMBERED:
             self.follows.clear()
         self[text] = found = np.array(self.piece(text), np.int32).tobytes()
         return found
