@@ -16,7 +16,7 @@ def lenient(spark: SparkSession, path: str, schema: str = CORPUS) -> DataFrame:
 
 def numbered(spark: SparkSession, path: str, schema: str = CORPUS) -> DataFrame:
     """As `lenient`, but absent ids are the file's stem and the line's number in the file, blank lines counted."""
-    lines = spark.read.option("pathGlobFilter", "*.jsonl").option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1).alias("stem"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
+    lines = spark.read.option("pathGlobFilter", "*.jsonl").text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.jsonl$", 1).alias("stem"), F.posexplode(F.split("value", "\n")).alias("i", "line"))
     rows = lines.where(F.trim("line") != "").withColumn("r", F.from_json("line", schema)).where("r.text IS NOT NULL")
     return rows.select("r.text", F.coalesce("r.doc_id", "stem").alias("doc_id"), F.coalesce("r.para_id", F.concat(F.lit("p"), F.col("i") + 1)).alias("para_id"))
 
@@ -43,7 +43,7 @@ def config(spark: SparkSession, path: str, schema: str, default: dict) -> DataFr
 
 def plain(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, is_priority) of whole text files."""
-    rows = spark.read.option("pathGlobFilter", "*.{txt,TXT}").option("recursiveFileLookup", True).option("wholetext", True).text(path)
+    rows = spark.read.option("pathGlobFilter", "*.{txt,TXT}").option("recursiveFileLookup", True).text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).withColumn("is_priority", F.col("path").contains("/important_examples/"))
 
 
