@@ -6,6 +6,8 @@ over the pieces: `aggregate` with a struct of the finished chunks and the open o
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,10 +18,10 @@ def _state(done: Column, now: Column, size: Column) -> Column:
     return F.struct(done.cast("array<string>").alias("done"), now.cast("array<string>").alias("now"), size.cast("int").alias("size"))
 
 
-def packed(pieces: Column, most: int, carry: int, glue: str) -> Column:
+def packed(pieces: Column, most: int, carry: int, glue: str, further: Callable[[Column], Column] = F.array) -> Column:
     """Pieces joined to chunks of up to `most` tokens; a chunk begins with the last piece of the one before if that is below `carry` tokens.
 
-    A piece of more than `most` tokens is a chunk of its own. Sizes are sums of the pieces' estimates.
+    `further` makes the chunks of a piece of more than `most` tokens (by default one). Sizes are sums of the pieces' estimates.
     """
     none = F.array().cast("array<string>")
 
@@ -30,7 +32,7 @@ def packed(pieces: Column, most: int, carry: int, glue: str) -> Column:
         kept = F.when(F.size(now) > 0, text.token_estimate(last)).otherwise(F.lit(most))
         carried = (F.size(now) > 0) & (kept < carry)
         return (
-            F.when(n > most, _state(F.concat(closed, F.array(piece)), none, F.lit(0)))
+            F.when(n > most, _state(F.concat(closed, further(piece)), none, F.lit(0)))
             .when(state["size"] + n <= most, _state(done, F.concat(now, F.array(piece)), state["size"] + n))
             .otherwise(F.when(carried, _state(closed, F.array(last, piece), kept + n)).otherwise(_state(closed, F.array(piece), n)))
         )
@@ -38,14 +40,32 @@ def packed(pieces: Column, most: int, carry: int, glue: str) -> Column:
     return F.aggregate(pieces, _state(none, none, F.lit(0)), step, lambda s: F.when(F.size(s["now"]) > 0, F.concat(s["done"], F.array(F.array_join(s["now"], glue)))).otherwise(s["done"]))
 
 
+def _paragraphs(column: Column) -> Column:
+    return F.filter(F.transform(F.split(column, r"\n\s*\n"), text.stripped), lambda p: p != "")
+
+
+def _sentences(column: Column) -> Column:
+    return F.filter(F.transform(F.split(column, r"(?<=[.!?])\s+(?=[A-Z])|(?<=[.!?])\s*\n"), text.stripped), lambda p: p != "")
+
+
 def by_paragraph(column: Column, most: int = 512, carry: int = 50) -> Column:
-    """Chunks of whole paragraphs (blank lines between)."""
-    return packed(F.filter(F.transform(F.split(column, r"\n\s*\n"), text.stripped), lambda p: p != ""), most, carry, "\n\n")
+    """Chunks of whole paragraphs (blank lines between), however long one is."""
+    return packed(_paragraphs(column), most, carry, "\n\n")
 
 
 def by_sentence(column: Column, most: int = 512, carry: int = 50) -> Column:
-    """Chunks of whole sentences: ends followed by a capital, or by a line break."""
-    return packed(F.filter(F.transform(F.split(column, r"(?<=[.!?])\s+(?=[A-Z])|(?<=[.!?])\s*\n"), text.stripped), lambda p: p != ""), most, carry, " ")
+    """Chunks of whole sentences (ends followed by a capital, or by a line break), however long one is."""
+    return packed(_sentences(column), most, carry, " ")
+
+
+def split_sentences(column: Column, most: int = 512, carry: int = 50) -> Column:
+    """As `by_sentence`, with a sentence of more than `most` tokens cut by words."""
+    return packed(_sentences(column), most, carry, " ", lambda s: by_words(s, most, carry))
+
+
+def split_paragraphs(column: Column, most: int = 512, carry: int = 50) -> Column:
+    """As `by_paragraph`, with a paragraph of more than `most` tokens cut by sentences, and those by words."""
+    return packed(_paragraphs(column), most, carry, "\n\n", lambda p: split_sentences(p, most, carry))
 
 
 def by_words(column: Column, most: int = 512, overlap: int = 50) -> Column:
@@ -56,8 +76,8 @@ def by_words(column: Column, most: int = 512, overlap: int = 50) -> Column:
 
 
 def by_strategy(column: Column, most: int = 512, carry: int = 50) -> Column:
-    """By paragraph where there are several, else by sentence."""
-    return F.when(F.size(F.split(column, r"\n\s*\n")) > 1, by_paragraph(column, most, carry)).otherwise(by_sentence(column, most, carry))
+    """By paragraph where there are several, else by sentence; longer ones are cut further."""
+    return F.when(F.size(F.split(column, r"\n\s*\n")) > 1, split_paragraphs(column, most, carry)).otherwise(split_sentences(column, most, carry))
 
 
 def pieces(docs: DataFrame, chunks: Column) -> DataFrame:

@@ -133,7 +133,7 @@ def chunk_tokens(spark, d):
 
 def chunk_sentences(spark, d):
     """Sentence chunks of every document."""
-    return chunking.pieces(_docs(spark, d), chunking.by_sentence(F.col("text"), 256, 40)).select("doc_id", "chunk", "part")
+    return chunking.pieces(_docs(spark, d), chunking.split_sentences(F.col("text"), 256, 40)).select("doc_id", "chunk", "part")
 
 
 def chunk_lines(spark, d):
