@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from folio.functions import lexicons
 from folio.operators import feedback, filters, telemetry, trainset
-from folio.plans.corpus import SPACE, q
+from folio.plans.corpus import REFERENCE, SPACE, _points, q
 from folio.sources.tables import table
 
 
@@ -30,6 +31,18 @@ def alpaca_build(spark, d):
     return rows.select("doc_id", "variant", F.length("input").alias("input_length"), F.md5("input").alias("input"), F.length("output").alias("output_length"))
 
 
+def alpaca_chunks(spark, d):
+    """Instruction rows of the chunks of documents, without reference lists, and pairs derived from the chunks; every tenth document's v1 have a reference list as original."""
+    chunks = trainset.paragraph_chunks(table(spark, d, "documents"))
+    c, t = F.col("doc_id"), F.col("text")
+    pair = lambda every, variant, line, generic: F.when(c % every == 0, F.struct(F.lit(variant).alias("variant"), F.lit(line).alias("line"), generic.alias("generic")))
+    made = F.filter(F.array(pair(2, "v1", 1, F.lower(t)), pair(4, "v2", 2, F.concat(F.lit("> "), t)), pair(6, "v1", 3, F.reverse(t)), pair(5, "v3", 4, F.upper(t))), lambda x: x.isNotNull())
+    original = F.when((c % 10 == 0) & (F.col("p.variant") == "v1"), F.concat(t, F.lit("\n" + REFERENCE))).otherwise(t)
+    pairs = chunks.withColumn("p", F.explode(made)).select("doc_id", "chunk", "p.*", original.alias("original"))
+    rows = trainset.alpaca_chunks(chunks, pairs)
+    return rows.select("doc_id", "chunk", "variant", F.length("input").alias("input_length"), F.md5("input").alias("input"), F.length("output").alias("output_length"), F.md5("output").alias("output"))
+
+
 def sharegpt_build(spark, d):
     """Turns of every conversation as one text."""
     rows = trainset.sharegpt(table(spark, d, "conversations"))
@@ -161,7 +174,7 @@ def oom_fallback(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        weighted_corpus, alpaca_build, sharegpt_build, completion_build, contrastive_build, context_windows, train_val_split, feedback_stats, dpo_pairs_service, dpo_pairs_basic, dpo_pairs_script, loss_summary,
+        weighted_corpus, alpaca_build, alpaca_chunks, sharegpt_build, completion_build, contrastive_build, context_windows, train_val_split, feedback_stats, dpo_pairs_service, dpo_pairs_basic, dpo_pairs_script, loss_summary,
         moving_avg_partial, moving_avg_valid, running_best, step_sample, log_parse, registry_latest, run_listing, memory_tier, plan_scores, oom_fallback,
     )
 }
@@ -171,6 +184,22 @@ _STEPS = "s AS (SELECT event_type AS run, event_id AS step, value AS loss, CAST(
 _SESSIONS = """v AS (SELECT doc_id // 4 AS session_id, doc_id % 4 AS pos, doc_id % 10 / 10.0::DOUBLE AS ai_score, md5(text) AS text, CASE WHEN (doc_id // 4) % 5 = 0 THEN '' ELSE 'input ' || (doc_id // 4) END AS input_text,
  CASE WHEN quality = 1 AND doc_id % 3 = 0 THEN 'best' WHEN quality = 1 AND doc_id % 3 = 1 THEN 'edited' WHEN quality = 1 THEN 'good' WHEN toxic = 1 THEN 'ai_like' WHEN quality = 0 THEN 'bad' ELSE 'unrated' END AS kind FROM documents LEFT JOIN labels USING (doc_id)),
 t AS (SELECT *, CASE WHEN kind = 'edited' THEN text || '*' ELSE text END AS t FROM v)"""
+
+
+def _joined(pieces: str) -> str:
+    return f"list_reduce({pieces}, lambda s, x: CASE WHEN len(s) > 0 AND length(s[len(s)]) + length(x) + 1 <= 1500 THEN list_append(s[1 : len(s) - 1], s[len(s)] || ' ' || x) ELSE list_append(s, x) END, []::VARCHAR[])"
+
+
+def _stripped(x: str) -> str:
+    return _STRIPPED.replace("text", x)
+
+
+_lines = _joined(f"list_filter(list_transform(string_split(b, chr(10)), lambda y: {_stripped('y')}), lambda y: y <> '')")
+_PIECES = f"""t AS (SELECT doc_id, {_STRIPPED} AS text FROM documents), b AS (SELECT doc_id, text, i, {_stripped("b")} AS b FROM (SELECT doc_id, text, unnest(range(len(l))) AS i, unnest(l) AS b FROM (SELECT doc_id, text, CASE WHEN length(text) <= 1500 THEN [text] ELSE string_split(text, chr(10) || chr(10)) END AS l FROM t WHERE length(text) >= 100))),
+g AS (SELECT doc_id, i, CASE WHEN length(b) <= 1500 THEN [b] ELSE {_lines} END AS g FROM b WHERE b <> ''),
+h AS (SELECT doc_id, i, CASE WHEN length(g[len(g)]) <= 1500 THEN g ELSE list_concat(g[1 : len(g) - 1], {_joined("string_split(replace(g[len(g)], '. ', '.' || chr(10)), chr(10))")}) END AS g FROM g),
+u AS (SELECT doc_id, i, unnest(range(len(g))) AS j, unnest(g) AS text FROM h),
+k AS (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1 AS INTEGER) AS chunk, text FROM u WHERE length(text) >= 100)"""
 _memory = "round(4.0 + batch * seq * (4096.0::DOUBLE * 32 * 2) / 1073741824.0 + rank * (4096.0::DOUBLE * 32 * 2 * 2) / 1073741824.0, 4)"
 
 ORACLES = {
@@ -178,6 +207,12 @@ ORACLES = {
 SELECT doc_id, CAST(unnest(range(1, CAST(greatest(1, trunc(weight)) AS BIGINT) + 1)) AS INTEGER) AS copy, weight FROM w""",
     "alpaca_build": f"""WITH p AS (SELECT doc_id, CASE WHEN doc_id % 6 = 0 THEN reverse(text) ELSE lower(text) END AS generic, 'v1' AS variant FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, '> ' || text, 'v2' FROM documents WHERE doc_id % 4 = 0)
 SELECT d.doc_id, coalesce(variant, 'none') AS variant, length(coalesce(generic, '')) AS input_length, md5(coalesce(generic, '')) AS input, length(text) AS output_length FROM documents d LEFT JOIN p ON p.doc_id = d.doc_id WHERE length({_STRIPPED}) >= 100""",
+    "alpaca_chunks": f"""WITH {_PIECES}, n AS (SELECT doc_id, chunk, text, {_points(lexicons.BIBLIOGRAPHY_B, [])} AS points FROM k),
+o AS (SELECT doc_id, chunk, {_points(lexicons.BIBLIOGRAPHY_B, [])} AS original_points FROM (SELECT doc_id, chunk, text || chr(10) || {q(REFERENCE)} AS text FROM k WHERE doc_id % 10 = 0)),
+c AS (SELECT n.*, text || CASE WHEN doc_id % 10 = 0 THEN chr(10) || {q(REFERENCE)} ELSE '' END AS original FROM n LEFT JOIN o USING (doc_id, chunk) WHERE points < 3 AND coalesce(original_points, 0) < 3),
+r AS (SELECT doc_id, chunk, 'none' AS variant, '' AS input, text AS output FROM c WHERE doc_id % 2 <> 0 AND doc_id % 6 <> 0 UNION ALL SELECT doc_id, chunk, 'v1', CASE WHEN doc_id % 6 = 0 THEN reverse(text) ELSE lower(text) END, original FROM c WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id, chunk, 'v2', '> ' || text, text FROM c WHERE doc_id % 4 = 0 UNION ALL SELECT doc_id, chunk, 'v3', upper(text), text FROM c WHERE doc_id % 2 = 0 AND doc_id % 5 = 0)
+SELECT doc_id, chunk, variant, length(input) AS input_length, md5(input) AS input, length(output) AS output_length, md5(output) AS output FROM r""",
     "sharegpt_build": "SELECT conv_id, CAST(count(*) AS INTEGER) AS turns, string_agg(CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE role END || ':' || text, '|' ORDER BY turn) AS joined FROM conversations GROUP BY conv_id",
     "completion_build": f"SELECT doc_id, {_STRIPPED} AS text FROM documents WHERE length({_STRIPPED}) >= 100",
     "contrastive_build": f"SELECT doc_id, length({_STRIPPED}) AS chosen, '' AS rejected, true AS same FROM documents WHERE length({_STRIPPED}) >= 100",

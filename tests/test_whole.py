@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import chunking
+from folio.operators import chunking, trainset
 
 
 def _size(s):
@@ -46,3 +46,59 @@ def test_long_pieces_are_cut_further(spark, most, carry):
     assert got[0] == split(flat) == got[2]
     assert got[1] == _packed(list(inside), most, carry, "\n\n", lambda p: split(inside[p]))
     assert max(_size(s) for s in flat) > most
+
+
+def _pair_paragraphs(text, least=100, most=1500):
+    def joined(pieces):
+        now, out = "", []
+        for p in pieces:
+            if now and len(now) + len(p) + 1 > most:
+                out.append(now)
+                now = p
+            else:
+                now = f"{now} {p}" if now else p
+        return out, now
+
+    found = []
+    for block in filter(None, (b.strip() for b in text.split("\n\n"))):
+        if len(block) <= most:
+            found.append(block)
+            continue
+        out, last = joined(filter(None, (x.strip() for x in block.split("\n"))))
+        if len(last) > most:
+            more, rest = joined(last.replace(". ", ".\n").split("\n"))
+            out, last = out + more, rest
+        found += [*out, last]
+    return [x for x in found if len(x) >= least]
+
+
+def test_alpaca_rows_are_chunks_without_reference_lists(spark):
+    draw = random.Random(3)
+    line = lambda n: " ".join(f"word{draw.randrange(99)}" + "." * (draw.random() < 0.1) for _ in range(n))
+    texts = ["\n\n".join("\n".join(line(draw.choice((2, 30, 90, 400))) for _ in range(draw.randrange(1, 9))) for _ in range(draw.randrange(1, 6))) for _ in range(30)] + ["a" * 1500, "b" * 1501, "c. " * 600, "d" * 99]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.chunk): r.text for r in trainset.paragraph_chunks(docs).collect()}
+    want = {(i, k): x for i, t in enumerate(texts) if len(t) >= 100 for k, x in enumerate([t.strip()] if len(t.strip()) <= 1500 else _pair_paragraphs(t))}
+    assert got == want and len(want) > 60
+    listed = "Smith J. 2001. J. Bacteriol. Res. 4:1699-1708. Mol. Gen. Genet. 244:135-143. " * 2
+    chunks = spark.createDataFrame([(i, 0, x) for i, x in enumerate(("plain " * 30, listed, "paired " * 30, "bad pair " * 30, "late " * 30))], "doc_id long, chunk int, text string")
+    pairs = spark.createDataFrame([(1, "v1", 1, "g", "o"), (2, "v1", 1, "old", "o"), (2, "v1", 2, "new", "own"), (2, "v2", 3, "g2", "own2"), (3, "v1", 4, "g", listed), (3, "v2", 5, "g", "o"), (4, "v2", 6, "g", "o")], "doc_id long, variant string, line int, generic string, original string").withColumn("chunk", F.lit(0))
+    rows = {(r.doc_id, r.variant): (r.input, r.output) for r in trainset.alpaca_chunks(chunks, pairs).collect()}
+    assert rows == {(0, "none"): ("", "plain " * 30), (2, "v1"): ("new", "own"), (2, "v2"): ("g2", "own2"), (4, "none"): ("", "late " * 30)}
+
+
+def _same_as_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from folio.plans import registry
+
+    folder, con = "/root/testdata/sf0.001", duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    found, want = registry.QUERIES[name](spark, folder), con.execute(registry.ORACLES[name])
+    names = sorted(x[0] for x in want.description)
+    place = [[x[0] for x in want.description].index(n) for n in names]
+    rows = sorted(tuple(r[i] for i in place) for r in want.fetchall())
+    assert sorted(found.columns) == names and sorted(map(tuple, found.select(*names).collect())) == rows and rows
+
+
+def test_alpaca_chunks_match_their_sql(spark):
+    _same_as_sql(spark, "alpaca_chunks")
