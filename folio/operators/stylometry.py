@@ -171,7 +171,7 @@ def openings(docs: DataFrame, top: int = 20, least: int = 2) -> DataFrame:
 
 
 def consistency(docs: DataFrame, mean_length: float, deviation: float, verbs: list[str]) -> DataFrame:
-    """(doc_id, consistency): mean closeness of sentence length and verbs to a fingerprint."""
+    """(doc_id, consistency): mean closeness of sentence length and verbs to a fingerprint; `closeness` has all four parts."""
     s = text.detector_sentences(F.col("text"))
     lengths = F.transform(s, lambda x: F.size(text.plain_words(x)).cast("double"))
     rows = docs.select("doc_id", lengths.alias("n"), text.plain_words(F.col("text")).alias("w"))
@@ -179,3 +179,29 @@ def consistency(docs: DataFrame, mean_length: float, deviation: float, verbs: li
     length = F.when(F.size("n") > 0, F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(mean - mean_length) / (deviation * 2)))
     verb = F.least(F.lit(1.0), F.size(F.array_intersect(F.array_distinct("w"), _words(verbs))) / F.lit(float(len(verbs))) * 2)
     return rows.select("doc_id", F.round((F.coalesce(length, F.lit(0.0)) + verb) / (length.isNotNull().cast("int") + 1), 3).alias("consistency"))
+
+
+def fingerprint(docs: DataFrame) -> DataFrame:
+    """One row of the corpus: mean_length, deviation, verbs, transitions, passive_ratio."""
+    top = favourites(docs)
+    of = lambda name: F.coalesce(F.collect_list(F.when(F.col("list") == name, F.col("word"))), F.array().cast("array<string>")).alias(name)
+    return sentence_stats(docs).select("mean_length", "deviation").crossJoin(top.agg(of("verbs"), of("transitions"))).crossJoin(structure(docs).select("passive_ratio"))
+
+
+def closeness(docs: DataFrame, style: DataFrame) -> DataFrame:
+    """(doc_id, closeness): mean of the closeness of sentence length, verbs, transitions and passive share to the one row of `style`.
+
+    A part that the fingerprint lacks is left out, and the length of a text without sentences; 0.5 if none is left.
+    """
+    s = text.detector_sentences(F.col("text"))
+    rows = docs.select("doc_id", "text", F.transform(s, lambda x: F.size(text.plain_words(x)).cast("double")).alias("n"), F.array_distinct(text.plain_words(F.col("text"))).alias("w")).crossJoin(F.broadcast(style))
+    mean = F.aggregate("n", F.lit(0.0), lambda a, x: a + x) / F.size("n")
+    near = F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(mean - F.col("mean_length")) / (F.col("deviation") * 2))
+    overlap = lambda words: F.when(F.size(words) > 0, F.least(F.lit(1.0), F.size(F.array_intersect("w", words)) / F.size(words).cast("double") * 2))
+    share = text.count_of(F.col("text"), PASSIVE) / F.greatest(F.size("n"), F.lit(1)).cast("double")
+    parts = F.array(
+        F.when((F.size("n") > 0) & (F.col("deviation") > 0), near), overlap("verbs"), overlap("transitions"),
+        F.when(F.col("passive_ratio") > 0, F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(share - F.col("passive_ratio")) * 2)),
+    )
+    scored = rows.select("doc_id", F.filter(parts, lambda x: x.isNotNull()).alias("p"))
+    return scored.select("doc_id", F.when(F.size("p") == 0, 0.5).otherwise(F.round(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) / F.size("p"), 3)).alias("closeness"))

@@ -84,7 +84,13 @@ def style_consistency(spark, d):
     return stylometry.consistency(_prose(spark, d), 12.0, 6.0, ["suggest", "indicate", "show", "observe"])
 
 
-QUERIES = {f.__name__: f for f in (char_perplexity, ai_scores, risk_bands, pattern_scores, style_metrics, style_scores, fingerprint_sentences, fingerprint_vocabulary, fingerprint_words, fingerprint_structure, fingerprint_openings, style_consistency)}
+def style_closeness(spark, d):
+    """Closeness of every text to the fingerprint of the corpus, in all four parts."""
+    docs = _prose(spark, d)
+    return stylometry.closeness(docs, stylometry.fingerprint(docs))
+
+
+QUERIES = {f.__name__: f for f in (char_perplexity, ai_scores, risk_bands, pattern_scores, style_metrics, style_scores, fingerprint_sentences, fingerprint_vocabulary, fingerprint_words, fingerprint_structure, fingerprint_openings, style_consistency, style_closeness)}
 
 _SRC = f"src AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN {q(LEADS[0])} ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN {q(LEADS[1])} ELSE '' END || CASE WHEN doc_id % 5 = 0 THEN {q(LEADS[2])} ELSE '' END || text AS text FROM documents)"
 
@@ -151,3 +157,11 @@ SELECT phrase, uses, row_number() OVER (ORDER BY uses DESC, phrase) AS rank FROM
     "style_consistency": f"""WITH {_SRC}, x AS (SELECT doc_id, list_transform({_DET}, lambda s: len({_WORDS})::DOUBLE) AS n, {PLAIN} AS w FROM src), y AS (SELECT doc_id, CASE WHEN len(n) > 0 THEN greatest(0.0, 1.0 - abs(list_avg(n) - 12.0) / 12.0) END AS a,
  least(1.0, len(list_intersect(list_distinct(w), ['suggest', 'indicate', 'show', 'observe'])) / 4.0::DOUBLE * 2) AS b FROM x) SELECT doc_id, round((coalesce(a, 0.0) + b) / (CASE WHEN a IS NULL THEN 1 ELSE 2 END), 3) AS consistency FROM y""",
 }
+
+_overlap = lambda words: f"CASE WHEN len({words}) > 0 THEN least(1.0::DOUBLE, len(list_intersect(w, {words})) / len({words})::DOUBLE * 2) END"
+ORACLES["style_closeness"] = f"""WITH {_SRC}, fs AS ({ORACLES["fingerprint_sentences"]}), fw AS ({ORACLES["fingerprint_words"]}), ft AS ({ORACLES["fingerprint_structure"]}),
+fp AS (SELECT mean_length, deviation, passive_ratio, (SELECT coalesce(list(word), []) FROM fw WHERE list = 'verbs') AS verbs, (SELECT coalesce(list(word), []) FROM fw WHERE list = 'transitions') AS transitions FROM fs, ft),
+x AS (SELECT doc_id, list_transform({_DET}, lambda s: len({_WORDS})::DOUBLE) AS n, list_distinct({PLAIN}) AS w, {_count("text", stylometry.PASSIVE[4:], "(?i)")} AS p FROM src),
+y AS (SELECT doc_id, list_filter([CASE WHEN len(n) > 0 AND deviation > 0 THEN greatest(0.0::DOUBLE, 1.0::DOUBLE - abs(list_sum(n) / len(n) - mean_length) / (deviation * 2)) END, {_overlap("verbs")}, {_overlap("transitions")},
+ CASE WHEN passive_ratio > 0 THEN greatest(0.0::DOUBLE, 1.0::DOUBLE - abs(p / greatest(len(n), 1)::DOUBLE - passive_ratio) * 2) END], lambda v: v IS NOT NULL) AS parts FROM x, fp)
+SELECT doc_id, CASE WHEN len(parts) = 0 THEN 0.5 ELSE round(list_sum(parts) / len(parts), 3) END AS closeness FROM y"""

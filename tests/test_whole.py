@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import chunking, trainset
+from folio.operators import chunking, stylometry, trainset
 
 
 def _size(s):
@@ -102,3 +102,17 @@ def _same_as_sql(spark, name):
 
 def test_alpaca_chunks_match_their_sql(spark):
     _same_as_sql(spark, "alpaca_chunks")
+
+
+def test_closeness_has_four_parts(spark):
+    docs = spark.createDataFrame([(1, "However cells were treated slowly. We show them again here."), (2, "")], "doc_id long, text string")
+    style = lambda *x: spark.createDataFrame([x], "mean_length double, deviation double, verbs array<string>, transitions array<string>, passive_ratio double")
+    of = lambda *x: {r.doc_id: r.closeness for r in stylometry.closeness(docs, style(*x)).collect()}
+    # sentences of 5 words each: 1; one of four verbs: 0.5; one of two transitions: 1; passive 1 / 2 against 0.25: 0.5
+    assert of(5.0, 2.0, ["show", "a", "b", "c"], ["however", "thus"], 0.25) == {1: 0.75, 2: 0.167}
+    assert of(5.0, 2.0, ["show", "a", "b", "c"], [], 0.0) == {1: 0.75, 2: 0.0}
+    assert of(5.0, 0.0, [], [], 0.0) == {1: 0.5, 2: 0.5}
+
+
+def test_style_closeness_matches_its_sql(spark):
+    _same_as_sql(spark, "style_closeness")
