@@ -78,11 +78,11 @@ def plans(spark, limit_gb: float = 16.0, margin: float = 0.15) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("effective"), F.desc("seq"), "rank")))
 
 
-def fallbacks(configs: DataFrame, most: int = 12) -> DataFrame:
+def fallbacks(configs: DataFrame) -> DataFrame:
     """(id, attempt, eval_batch, batch, seq, layers): what each out-of-memory event in turn changes, until nothing is left to lower.
 
     First the evaluation batch, then the batch, then the sequence (to multiples of 256, 512 at least),
-    then the layers (4 at least); each is halved.
+    then the layers (4 at least); each is halved, so no more often than it has binary digits.
     """
     kind = "array<struct<eval_batch:int,batch:int,seq:int,layers:int>>"
     names = ("eval_batch", "batch", "seq", "layers")
@@ -94,7 +94,8 @@ def fallbacks(configs: DataFrame, most: int = 12) -> DataFrame:
     next_ = f"""CASE WHEN {now["eval_batch"]} > 1 THEN {row(eval_batch=f"{now['eval_batch']} div 2")} WHEN {now["batch"]} > 1 THEN {row(batch=f"{now['batch']} div 2")}
         WHEN {now["seq"]} > 512 THEN {row(seq=f"greatest(512, {now['seq']} div 2 div 256 * 256)")} WHEN {now["layers"]} > 4 THEN {row(layers=f"greatest(4, {now['layers']} div 2)")} END"""
     first = "named_struct(" + ", ".join(f"'{n}', {n}" for n in names) + ")"
-    chain = f"aggregate(sequence(1, {most}), cast(array({first}) AS {kind}), (s, i) -> CASE WHEN ({next_}) IS NULL THEN s ELSE cast(concat(s, array({next_})) AS {kind}) END)"
+    steps = " + ".join(f"length(bin(coalesce({n}, 0)))" for n in names)
+    chain = f"aggregate(sequence(1, {steps}), cast(array({first}) AS {kind}), (s, i) -> CASE WHEN ({next_}) IS NULL THEN s ELSE cast(concat(s, array({next_})) AS {kind}) END)"
     rows = configs.select("id", F.posexplode(F.expr(chain)).alias("attempt", "c"))
     return rows.select("id", "attempt", "c.*")
 

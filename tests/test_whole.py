@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import chunking, stylometry, trainset
+from folio.operators import chunking, stylometry, telemetry, trainset
 
 
 def _size(s):
@@ -116,3 +116,21 @@ def test_closeness_has_four_parts(spark):
 
 def test_style_closeness_matches_its_sql(spark):
     _same_as_sql(spark, "style_closeness")
+
+
+def test_fallbacks_go_on_until_nothing_is_left(spark):
+    start = spark.createDataFrame([(1, 64, 64, 2048, 16), (2, 1, 1, 512, 4)], "id int, eval_batch int, batch int, seq int, layers int")
+    rows = telemetry.fallbacks(start).orderBy("id", "attempt").collect()
+    chain = [tuple(r)[1:] for r in rows if r.id == 1]
+    assert chain[-1] == (16, 1, 1, 512, 4) and chain[12] == (12, 1, 1, 2048, 16) and len(chain) == 17
+    assert [tuple(r)[1:] for r in rows if r.id == 2] == [(0, 1, 1, 512, 4)]
+
+
+def test_oom_fallback_matches_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from folio.plans import registry
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW part AS SELECT * FROM '/root/testdata/sf0.001/part.parquet'")
+    rows = registry.QUERIES["oom_fallback"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(map(tuple, rows)) == sorted(con.execute(registry.ORACLES["oom_fallback"]).fetchall())
