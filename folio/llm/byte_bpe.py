@@ -14,6 +14,7 @@ the merges applied in order of rank.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,17 +30,26 @@ from folio.llm.words import pieces
 #: A file of base64 tokens and ranks, and the pattern that splits texts for it.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: Pieces, and pairs of tokens, that a worker remembers; each memory starts anew when it is full.
+#: Pieces in each of the two generations of a worker's memory: a full one becomes the old one, and what is
+#: met again in the old one moves to the new.
 REMEMBERED = 1 << 17
+#: Characters up to which a piece is remembered (so the memory is bounded in bytes too), and bytes up to which
+#: its longest matches are looked up one by one.
+SHORT = 40
+#: Slots for remembered pairs of tokens (8 bytes each); a pair takes the place of the one before it.
+PAIRS = (1 << 20) - 3
 
 
 class Codec(dict):
-    """Encodes and decodes with one vocabulary; as a dict, the pieces met so far."""
+    """Encodes and decodes with one vocabulary; as a dict, the pieces met lately."""
 
     def __init__(self, path: str, pattern: str = PATTERN):
         super().__init__()
+        self.old: dict[str, bytes] = {}
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
+        if absent := [b for b in range(256) if bytes([b]) not in ranks]:
+            raise ValueError(f"{path} has no token for {len(absent)} of the 256 bytes, so not every text can be encoded")
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
@@ -47,11 +57,12 @@ class Codec(dict):
         self.sizes = [len(t) for t in self.bytes]
         self.parts: dict[int, tuple[int, int]] = {}
         self.pairs: dict[tuple[int, int], int] = {}
-        self.shorter: dict[int, int] = {}
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.shorter = [-1] * len(self.bytes)
+        self.base = len(self.bytes)
+        self.fits = array("q", [-2]) * PAIRS
         self.automaton = ahocorasick.Automaton()
         for token, rank in sorted(ranks.items(), key=lambda x: x[1]):
-            self.automaton.add_word(token.decode("latin-1"), (rank, len(token)))
+            self.automaton.add_word(token.decode("latin-1"), rank)
             self.shorter[rank] = next((ranks[token[:k]] for k in range(len(token) - 1, 0, -1) if token[:k] in ranks), -1)
             if len(token) == 1:
                 self.parts[rank] = (rank, rank)
@@ -74,12 +85,11 @@ class Codec(dict):
 
     def _compatible(self, one: int, two: int) -> bool:
         """Whether no merge at the seam comes before those that made the tokens."""
-        pair, pairs, parts = (one, two), self.pairs, self.parts
+        pairs, parts = self.pairs, self.parts
         before = len(self.bytes) + 1  # only merges below this rank came earlier
         while True:
             merged = pairs.get((one, two))
             if merged is not None and merged < before:
-                self.follows[pair] = False
                 return False
             for left in (one > two, one <= two):  # undo the later of the two merges
                 if left and parts[one][1] != one:
@@ -89,40 +99,64 @@ class Codec(dict):
                     before, two = two + 1, parts[two][0]
                     break
             else:
-                self.follows[pair] = True
                 return True
 
+    def _fitting(self, one: int, two: int) -> int:
+        """The longest of `two` and its prefix tokens that can follow `one` (-1: none), remembered in a table of fixed size."""
+        pair, fit = one * self.base + two, two
+        while fit >= 0 and not self._compatible(one, fit):
+            fit = self.shorter[fit]
+        self.fits[pair % PAIRS] = pair << 20 | fit + 1
+        return fit
+
+    def _longest(self, latin: str) -> list[int]:
+        """The longest token at every place."""
+        longest, reach, sizes = [0] * len(latin), [0] * len(latin), self.sizes
+        for end, rank in self.automaton.iter(latin):
+            at = end - sizes[rank] + 1
+            if sizes[rank] > reach[at]:
+                longest[at], reach[at] = rank, sizes[rank]
+        return longest
+
     def piece(self, text: str) -> list[int]:
         """The tokens of one piece."""
         raw = text.encode()
-        size, sizes, shorter = len(raw), self.sizes, self.shorter
-        longest, reach = [0] * size, [0] * size
-        for end, (rank, length) in self.automaton.iter(raw.decode("latin-1")):
-            if length > reach[end - length + 1]:
-                longest[end - length + 1], reach[end - length + 1] = rank, length
-        out: list[int] = []
-        open_, at, token = bytearray(b"\1") * (size + 1), 0, longest[0]
+        if raw in self.ranks:  # a token is the encoding of its own bytes: `_last_merge` found the merges
+            return [self.ranks[raw]]
+        latin = raw.decode("latin-1")
+        size, sizes, shorter, fits, base = len(raw), self.sizes, self.shorter, self.fits, self.base
+        scan, longest = self.automaton.iter_long, self._longest(latin) if size > SHORT else None  # a call copies the piece
+        token = longest[0] if longest else next(scan(latin, 0))[1]
+        out, open_, at, before = [], bytearray(b"\1") * (size + 1), 0, -1
         while True:
-            end = at + sizes[token]
-            if open_[end] and (not out or (self.follows[out[-1], token] if (out[-1], token) in self.follows else self._compatible(out[-1], token))):
-                out.append(token)
-                at = end
-                if at == size:
-                    return out
-                token = longest[at]
-            elif shorter[token] >= 0:
-                token = shorter[token]
-            else:
+            if before >= 0 and token >= 0:
+                pair = before * base + token
+                seen = fits[pair % PAIRS]
+                token = (seen & 0xFFFFF) - 1 if seen >> 20 == pair else self._fitting(before, token)
+            if token < 0:  # nothing fits here: give up the token before
                 open_[at] = 0
                 token = out.pop()
+                before = out[-1] if out else -1
                 at -= sizes[token]
+            elif open_[at + sizes[token]]:
+                out.append(token)
+                at, before = at + sizes[token], token
+                if at == size:
+                    return out
+                token = longest[at] if longest else next(scan(latin, at))[1]
+                continue
+            token = shorter[token]
 
     def __missing__(self, text: str) -> bytes:
+        found = self.old.get(text)
+        if found is None:
+            found = array("i", self.piece(text)).tobytes()
+            if len(text) > SHORT:
+                return found
         if len(self) >= REMEMBERED:
+            self.old = dict(self)
             self.clear()
-        if len(self.follows) >= REMEMBERED:
-            self.follows.clear()
-        self[text] = found = np.array(self.piece(text), np.int32).tobytes()
+        self[text] = found
         return found
 
     def encode(self, text: str) -> np.ndarray:
