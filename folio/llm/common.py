@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,16 +11,21 @@ from pyspark.sql import functions as F
 
 #: Ids whose set may be sent to every executor, in bytes. Beyond it the join shuffles.
 BROADCAST_BYTES = 64 << 20
+#: Bytes of input for a bucket that one task holds in memory.
+BUCKET_BYTES = 128 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The application's folder below `spark.checkpoint.dir`.
 
-    Where that setting is absent (a local session, as in tests), a temporary
-    folder of this machine is used.
+    Where that setting is absent a local session, as in tests, gets a temporary
+    folder of this machine; on a cluster that is an error, as no folder of one machine
+    is shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.folio.local.dir", "")
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="folio-")
         spark.conf.set("spark.folio.local.dir", root)
     return f"{root.rstrip('/')}/folio-{spark.sparkContext.applicationId}"
@@ -34,14 +40,31 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     spark._jvm.System.gc()  # Spark deletes a finished job's shuffle files once its objects are collected
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._folio_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def drop(table: DataFrame) -> None:
+    """Delete a table that `stored` wrote, once nothing that is still to run reads it."""
+    _delete(table.sparkSession, table._folio_path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the application's intermediate tables. Results not yet written need them."""
-    jvm, sc = spark._jvm, spark.sparkContext
-    path = jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
-    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, shared_dir(spark))
+
+
+def buckets_of(docs: DataFrame) -> int:
+    """Buckets for a task each: the shuffle's partitions, or more where the input has more than `BUCKET_BYTES` for each."""
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return least if size > 1 << 56 else max(least, -(-size // BUCKET_BYTES))  # an unknown size is reported as huge
 
 
 def by_ids(df: DataFrame, ids: DataFrame, key: str, how: str, limit: int = BROADCAST_BYTES) -> DataFrame:

@@ -5,7 +5,8 @@ Texts are sequences of words (runs between white space). A repeat of at least
 the left or to the right. Sorted suffixes with the lengths of their common prefixes
 form a tree of intervals; a stack scan yields each interval with its length, which
 is maximal to the right; it is maximal to the left if the words before its suffixes
-differ, or one has none before. All suffixes of the interval are its occurrences.
+differ, or one has none before. All suffixes of the interval are its occurrences:
+the result is the suffixes in their order, and the intervals over them.
 
 Only suffixes that can start a maximal repeat are sorted, and only with those they
 can share a prefix with. Three exact steps lead there:
@@ -27,20 +28,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import by_ids, stored
+from folio.llm.common import buckets_of, by_ids, stored
 from folio.llm.words import SPACE, _powers, mix, ngrams, pieces, words
 
 #: Words of the shortest repeat, and of an anchor.
 LEAST, ANCHOR = 50, 16
 #: Places a task holds before it sends them; occurrences in a batch of results.
-FLUSH, BATCH = 1 << 21, 1 << 20
+FLUSH, BATCH = 1 << 21, 1 << 17
+#: Bytes of suffixes that are sorted as copies; beyond, by ranks, if their texts are much smaller.
+COPIED = 1 << 24
 #: Stands for the word before a text's first.
 START = 0
 
 _NAMES = ["bucket", "ids", "counts", "hashes", "lefts", "places"]
+ROWS = "repeat_id long, n_words long, occurrences long, place long, doc_id long, start long, longer array<struct<n_words: long, occurrences: long>>"
 _PLACES = "bucket int, ids binary, counts binary, hashes binary, lefts binary, places binary"
 
 
@@ -166,17 +171,24 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, np.ndarray
 
 
 def maximal(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFrame:
-    """One row for each maximal repeat: (n_words, occurrences, doc_ids, starts).
-
-    `doc_ids` and `starts` (the word, from 0, that an occurrence starts at) list all
-    occurrences, by id and place; a repeat within one document counts. Null ids,
-    null texts and texts of fewer than `least` words have none. Rows that repeat an
-    id are texts of their own, whose occurrences carry the same id. Other columns are
-    not read.
+    """All maximal repeats with all their occurrences: (repeat_id, n_words, occurrences, place, doc_id, start, longer).
+
+    Repeats that share their first `least` words lie within one outermost repeat, so each
+    place where any repeat starts has one row: its document, the word (from 0) it starts at, the
+    id, words and occurrences of the outermost repeat, and its place among that one's
+    suffixes in their order. `longer` lists the repeats within it whose first suffix is
+    this one: such a repeat of k occurrences has those of this row and the k - 1 after it.
+    So the rows grow with the places, and not with the lists of nested repeats;
+    `occurrences` makes those lists of them.
+
+    A repeat within one document counts. Null ids, null texts and texts of fewer
+    than `least` words have no row; an empty table has none. Rows that repeat an id
+    are texts of their own, whose occurrences carry the same id. Other columns, whatever their
+    names, are not read.
     """
     anchor = min(anchor, least)
     width = least - anchor + 1
-    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets_of(docs)
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,7 +211,7 @@ def maximal(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFr
     def of(name: DataFrame) -> DataFrame:
         return by_ids(texts, stored(name.select("doc_id"), "ids"), "doc_id", "left_semi").join(name, "doc_id")
 
-    spots = gathered(texts.mapInArrow(anchors, _PLACES).repartition("bucket").mapInArrow(_kept(False), "doc_id long, places binary"), "spots")
+    spots = gathered(texts.mapInArrow(anchors, _PLACES).repartitionById(buckets, "bucket").mapInArrow(_kept(False), "doc_id long, places binary"), "spots")
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = _Places(buckets)
@@ -220,7 +232,7 @@ def maximal(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFr
         if out.number:
             yield out.packed()
 
-    starts = gathered(of(spots).mapInArrow(places, _PLACES).repartition("bucket").mapInArrow(_kept(True), "doc_id long, places binary"), "starts")
+    starts = gathered(of(spots).mapInArrow(places, _PLACES).repartitionById(buckets, "bucket").mapInArrow(_kept(True), "doc_id long, places binary"), "starts")
 
     def suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, types = ["key", "doc_id", "starts", "lefts", "words"], [pa.int64(), pa.int64(), *[pa.binary()] * 3]
@@ -256,22 +268,72 @@ def maximal(docs: DataFrame, least: int = LEAST, anchor: int = ANCHOR) -> DataFr
 
     joined = of(starts).join(spots, "doc_id").select("doc_id", "text", "spots", "starts")
     parts = joined.mapInArrow(suffixes, "key long, doc_id long, starts binary, lefts binary, words binary")
-    found = parts.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(least), "n_words long, occurrences long, doc_ids array<long>, starts array<long>")
-    return found
+    return parts.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(least, COPIED), ROWS)
+
 
+def occurrences(found: DataFrame) -> DataFrame:
+    """(n_words, occurrences, doc_ids, starts) of every maximal repeat in the rows of `maximal`, its occurrences by id and place.
 
-def intervals(suffixes: list[bytes], lefts: np.ndarray, least: int, width: int = 6) -> Iterator[tuple[int, int, int]]:
-    """(words, first, last + 1) of every left-diverse interval of the sorted suffixes, `width` bytes a word."""
-    common = np.zeros(len(suffixes) + 1, np.int64)
-    arrays = [np.frombuffer(s, np.uint8) for s in suffixes]
+    The lists of nested repeats repeat their members: their sizes add up to more than the rows.
+    """
+    inner = found.select("repeat_id", "place", F.explode("longer").alias("r")).select("repeat_id", F.col("place").alias("first"), "r.n_words", "r.occurrences")
+    outer = found.where("place = 0").select("repeat_id", F.col("place").alias("first"), "n_words", "occurrences")
+    members = found.select("repeat_id", "place", "doc_id", "start")
+    met = outer.unionByName(inner).join(members, "repeat_id").where("place >= first AND place < first + occurrences")
+    rows = met.groupBy("repeat_id", "first", "n_words", "occurrences").agg(F.sort_array(F.collect_list(F.struct("doc_id", "start"))).alias("o"))
+    return rows.select("n_words", "occurrences", F.col("o.doc_id").alias("doc_ids"), F.col("o.start").alias("starts"))
+
+
+def _sorted(texts: list[bytes], owner: np.ndarray, at: np.ndarray, most: int, width: int = 6) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): the sorted suffixes that start at word `at` of text `owner`, `width` bytes a word, and
+    for each in that order the words that it shares with the one before (0 for the first)."""
+    sizes = np.array([len(t) for t in texts])
+    copied = int((sizes[owner] - width * at).sum())
+    if copied > most and copied > 8 * sizes.sum():
+        return _doubled(texts, owner, at, width)
+    suffixes = [texts[o][width * k :] for o, k in zip(owner.tolist(), at.tolist())]
+    order = np.array(sorted(range(len(suffixes)), key=suffixes.__getitem__))
+    arrays = [np.frombuffer(suffixes[k], np.uint8) for k in order.tolist()]
+    common = np.zeros(len(suffixes), np.int64)
     for i in range(1, len(suffixes)):
         a, b = arrays[i - 1], arrays[i]
         n = min(len(a), len(b))
         differ = a[:n] != b[:n]
         k = int(differ.argmax()) if n else 0
         common[i] = (k if n and differ[k] else n) // width
+    return order, common
+
+
+def _doubled(texts: list[bytes], owner: np.ndarray, at: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same without a copy of each suffix: ranks of runs of 1, 2, 4, ... words, for texts that repeat themselves."""
+    sizes = np.array([len(t) // width for t in texts])
+    ends = np.cumsum(sizes)
+    raw = np.zeros((int(ends[-1]), 8), np.uint8)
+    raw[:, 8 - width :] = np.frombuffer(b"".join(texts), np.uint8).reshape(-1, width)
+    left = np.repeat(ends, sizes) - np.arange(ends[-1])  # words from here to the text's end
+    ranks = [np.unique(raw.view(">u8").ravel(), return_inverse=True)[1].astype(np.int64) + 1]
+    span, spot = 1, (ends - sizes)[owner] + at
+    while span < sizes.max():
+        beyond = np.zeros(len(left), np.int64)
+        beyond[:-span] = ranks[-1][span:]
+        beyond[left <= span] = 0
+        ranks.append(np.unique(ranks[-1] * (len(left) + 1) + beyond, return_inverse=True)[1].astype(np.int64) + 1)
+        span *= 2
+    order = np.argsort(ranks[-1][spot], kind="stable")
+    one, two = spot[order][:-1].copy(), spot[order][1:].copy()
+    shared, room = np.zeros(len(one), np.int64), np.minimum(left[one], left[two])
+    for level in range(len(ranks) - 1, -1, -1):
+        x, y = np.minimum(one + shared, len(left) - 1), np.minimum(two + shared, len(left) - 1)
+        same = (shared < room) & (ranks[level][x] == ranks[level][y])
+        shared[same] = np.minimum(shared + (1 << level), room)[same]
+    return order, np.concatenate([[0], shared])
+
+
+def intervals(common: np.ndarray, lefts: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
+    """(words, first, last + 1) of every left-diverse interval of sorted suffixes, by the words shared with the one before."""
+    common = [*common.tolist(), 0]
     stack: list[list] = [[0, 0, None]]  # length, first suffix, the word before all of them (None: they differ)
-    for i in range(1, len(suffixes) + 1):
+    for i in range(1, len(common)):
         first, left = i - 1, (int(lefts[i - 1]) if lefts[i - 1] != START else None)
         while stack[-1][0] > common[i]:
             length, first, before = stack.pop()
@@ -279,60 +341,74 @@ def intervals(suffixes: list[bytes], lefts: np.ndarray, least: int, width: int =
             if left is None and length >= least:
                 yield length, first, i
         if stack[-1][0] < common[i]:
-            stack.append([int(common[i]), first, left])
+            stack.append([common[i], first, left])
         elif stack[-1][2] != left:
             stack[-1][2] = None
 
 
-def _trees(least: int):
+def _trees(least: int, copied: int):
     """The repeats of every key's suffixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[int, np.ndarray, np.ndarray]] = []
+        found: list[tuple] = []
         number, now, held = 0, None, []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            nonlocal found, number
+            for x in _repeats(held, least, copied):
+                found.append(x)
+                number += len(x[2])
+                if number > BATCH:
+                    yield _rows(found)
+                    found, number = [], 0
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 if row[0] != now and held:
-                    for x in _repeats(held, least):
-                        found.append(x)
-                        number += len(x[1])
-                        if number > BATCH:
-                            yield _rows(found)
-                            found, number = [], 0
+                    yield from close()
                     held = []
                 now = row[0]
                 held.append(row)
         if held:
-            for x in _repeats(held, least):
-                found.append(x)
-                number += len(x[1])
-                if number > BATCH:
-                    yield _rows(found)
-                    found, number = [], 0
+            yield from close()
         if found:
             yield _rows(found)
 
     return run
 
 
-def _repeats(rows: list[tuple], least: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    suffixes, docs, places, lefts = [], [], [], []
-    for _, doc, starts, left, text in rows:
-        starts = np.frombuffer(starts, np.int64)
-        suffixes += [text[6 * k :] for k in (starts - starts[0]).tolist()]
-        docs.append(np.full(len(starts), doc))
-        places.append(starts)
-        lefts.append(np.frombuffer(left, np.uint64))
-    doc, place, left = np.concatenate(docs), np.concatenate(places), np.concatenate(lefts)
-    order = np.array(sorted(range(len(suffixes)), key=suffixes.__getitem__))
-    doc, place, left = doc[order], place[order], left[order]
-    for length, a, b in intervals([suffixes[k] for k in order.tolist()], left, least):
-        by = np.lexsort((place[a:b], doc[a:b]))
-        yield length, doc[a:b][by], place[a:b][by]
-
-
-def _rows(found: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    sizes = np.array([len(d) for _, d, _ in found])
-    offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([f[k] for f in found]).astype(np.int64))) for k in (1, 2)]
-    return pa.RecordBatch.from_arrays([pa.array([n for n, _, _ in found], pa.int64()), pa.array(sizes), *lists], ["n_words", "occurrences", "doc_ids", "starts"])
+def _repeats(rows: list[tuple], least: int, copied: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[list[tuple[int, int]]]]]:
+    """(repeat_id, words, docs, starts, longer) of every outermost repeat of a key."""
+    starts = [np.frombuffer(r[2], np.int64) for r in rows]
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in starts])
+    texts = [r[4] for r in rows]
+    order, common = _sorted(texts, owner, np.concatenate([x - x[0] for x in starts]), copied)
+    doc = np.array([r[1] for r in rows])[owner][order]
+    place = np.concatenate(starts)[order]
+    left = np.concatenate([np.frombuffer(r[3], np.uint64) for r in rows])[order]
+    end = 0
+    for length, a, b in sorted(intervals(common, left, least), key=lambda x: (x[1], -x[2])):
+        if a >= end:  # outermost; the ones within it follow
+            if end:
+                yield root
+            longer: list[list[tuple[int, int]]] = [[] for _ in range(b - a)]
+            begin, end, k = a, b, int(order[a])
+            at = 6 * int(starts[owner[k]][0] * -1 + place[a])
+            name = xxhash.xxh64_intdigest(texts[owner[k]][at : at + 6 * least]) >> 1
+            root = (name, length, doc[a:b], place[a:b], longer)
+        else:
+            longer[a - begin].append((length, b - a))
+    if end:
+        yield root
+
+
+def _rows(found: list[tuple]) -> pa.RecordBatch:
+    sizes = np.array([len(f[2]) for f in found])
+    number = np.repeat(sizes, sizes)
+    place = np.arange(len(number)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    nested = [x for f in found for x in f[4]]
+    offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in nested])]).astype(np.int32))
+    pairs = np.array([y for x in nested for y in x], np.int64).reshape(-1, 2)
+    inner = pa.StructArray.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["n_words", "occurrences"])
+    columns = [np.repeat([f[0] for f in found], sizes), np.repeat([f[1] for f in found], sizes), number, place, np.concatenate([f[2] for f in found]), np.concatenate([f[3] for f in found])]
+    return pa.RecordBatch.from_arrays([*(pa.array(c.astype(np.int64)) for c in columns), pa.ListArray.from_arrays(offsets, inner)], ["repeat_id", "n_words", "occurrences", "place", "doc_id", "start", "longer"])
