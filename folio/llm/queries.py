@@ -36,12 +36,12 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of `documents` whose word-bigram sets have a Jaccard similarity of 0.6 or more."""
-    return ngram_join.similar(table(spark, sf_dir, "documents"))
+    """Every document's class and its number of links: others whose word-bigram sets have a Jaccard similarity of 0.6 or more with its own."""
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every maximal repeat of 50 words or more in `documents`, with all its occurrences."""
+    """Every place in `documents` where a maximal repeat of 50 words or more starts, with the repeats that start there."""
     return repeats.maximal(table(spark, sf_dir, "documents"))
 
 

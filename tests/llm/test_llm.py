@@ -80,6 +80,7 @@ def test_join_rows_equal_brute_force(spark):
     want = pairs_of(docs, ngram_join.WORDS, ngram_join.THRESHOLD)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-4 for k in want)
     kept = {r.doc_id for r in ngram_join.without_near_copies(frame_).collect()}
+    classes = {r.doc_id: (r.class_id, r.links) for r in ngram_join.classes(frame_).collect()}
     parent = {i: i for i, _ in docs}
 
     def root(i):
@@ -90,10 +91,47 @@ def test_join_rows_equal_brute_force(spark):
     for a, b in got:
         parent[max(root(a), root(b))] = min(root(a), root(b))
     assert kept == {i for i, _ in docs if root(i) == i}
+    assert classes == {i: (root(i), sum(i in pair for pair in got)) for i, _ in docs}
+
+
+def test_join_of_an_id_with_several_texts(spark):
+    long, short = (" ".join(f"{c}{i}" for i in range(k)) for c, k in (("l", 400), ("s", 40)))
+    rows = [(7, long), (7, short), (7, short), (9, short + " end"), (11, long), (12, "nothing like it"), (12, "of another kind")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.id_a, r.id_b) for r in ngram_join.similar(docs).collect()} == {(7, 9), (7, 11)}
+    assert {tuple(r) for r in ngram_join.classes(docs).collect()} == {(7, 7, 2), (9, 7, 1), (11, 7, 1), (12, 12, 0)}
+    assert sorted(r.doc_id for r in ngram_join.without_near_copies(docs).collect()) == [7, 7, 7, 12, 12]
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(110)] + [(k, k + 1) for k in range(300, 340)]
+    parent = list(range(400))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for a, b in edges:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = {(i, root(i)) for a, b in edges if a != b for i in (a, b)}
+    frame_ = spark.createDataFrame(edges, "a long, b long")
+    for together in (1 << 20, 0):
+        assert {tuple(r) for r in ngram_join.components(frame_, together).collect()} == want
+
+
+def test_join_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 100)  # a group is cut into many blocks
+    docs = near_docs(random.Random(12), 60)
+    got = {(r.id_a, r.id_b) for r in ngram_join.similar(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == pairs_of(docs, ngram_join.WORDS, ngram_join.THRESHOLD).keys()
 
 
 def test_join_awkward(spark, awkward, empty):
     assert {(r.id_a, r.id_b) for r in ngram_join.similar(awkward).collect()} == {(4, 5)}
+    assert {tuple(r) for r in ngram_join.classes(awkward).collect()} == {(1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 1), (5, 4, 1), (6, 6, 0), (7, 7, 0), (8, 8, 0)}
+    assert ngram_join.classes(empty).count() == 0
     left = ngram_join.without_near_copies(awkward)
     assert left.columns == awkward.columns and left.count() == awkward.count() - 1
     assert ngram_join.similar(empty).count() == 0 and ngram_join.without_near_copies(empty).count() == 0
@@ -139,7 +177,8 @@ def brute_repeats(docs, least):
     return out
 
 
-def test_repeats_equal_brute_force(spark):
+@pytest.mark.parametrize("copied", [1 << 24, 0])
+def test_repeats_equal_brute_force(spark, monkeypatch, copied):
     rng = random.Random(3)
     vocab = [f"w{i}" for i in range(60)]
     base = [[rng.choice(vocab) for _ in range(40)] for _ in range(5)]
@@ -153,13 +192,16 @@ def test_repeats_equal_brute_force(spark):
             w += b + [rng.choice(vocab) for _ in range(rng.randint(0, 6))]
         docs.append((i, " ".join(w)))
     docs += [(100, " ".join(["a", "b", "c"] * 12)), (101, docs[3][1]), (102, docs[3][1])]
-    got = {(r.n_words, tuple(zip(r.doc_ids, r.starts))) for r in repeats.maximal(spark.createDataFrame(docs, "doc_id long, text string"), 8, 3).collect()}
+    monkeypatch.setattr(repeats, "COPIED", copied)
+    found = repeats.maximal(spark.createDataFrame(docs, "doc_id long, text string"), 8, 3)
+    got = {(r.n_words, tuple(zip(r.doc_ids, r.starts))) for r in repeats.occurrences(found).collect()}
     assert got == brute_repeats(docs, 8)
+    assert {r.repeat_id for r in found.where("place = 0").collect()} == {r.repeat_id for r in found.collect()}
 
 
 def test_repeats_awkward(spark, awkward, empty):
     rows = repeats.maximal(awkward).collect()
-    assert max(r.n_words for r in rows) == 30000 and all({*r.doc_ids} <= {4, 5} for r in rows)
+    assert max([r.n_words, *(x.n_words for x in r.longer)][-1] for r in rows) == 30000 and {r.doc_id for r in rows} == {4, 5}
     assert repeats.maximal(empty).count() == 0
 
 
