@@ -3,9 +3,11 @@
 Subwords are byte n-grams within a word, its borders included. A text's vector is
 the mean of its subwords' embeddings, and a linear layer with softmax gives the
 languages' probabilities. Embeddings and layer are trained by stochastic gradient
-descent in numpy on a bounded sample of labelled rows. A temperature and the
-confidence below which a text is rejected are calibrated on held-out rows, whole
-texts and random passages of them alike.
+descent in numpy on a bounded sample of labelled rows. A temperature and two bounds
+are calibrated on held-out rows, whole texts and random passages of them alike: the
+confidence below which a text of its length is rejected, so that errors among accepted
+texts keep to `ERRORS`, and the share of subwords unknown from training clearly above which
+it is, as texts in none of the languages have.
 
 Scoring multiplies the embeddings by the layer once: the mean of those products
 is the same logits, at one table lookup a subword.
@@ -14,7 +16,7 @@ is the same logits, at one table lookup a subword.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -27,22 +29,26 @@ from folio.llm.words import _MIX, folded, pieces
 SAMPLE = 3000
 #: Buckets of subwords (a power of two), width of the embeddings, sizes of subwords in bytes.
 BUCKETS, WIDTH, SIZES = 1 << 15, 16, (2, 3, 4)
-#: Share of errors among accepted held-out texts that sets the least confidence; the highest
-#: it may be: a text whose best language is more likely than all others together is accepted.
-ERRORS, CEILING = 0.01, 0.5
+#: Share of errors among accepted held-out texts that sets the least confidence; share of held-out
+#: texts that may be rejected for subwords that training never met.
+ERRORS, STRANGERS = 0.01, 0.001
+#: Numbers of subwords that part the lengths which the least confidence is calibrated for, each by itself.
+LENGTHS = np.array([32, 64, 128, 256])
 
 _LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 
 
 @dataclass
 class Model:
-    """Languages, logits of the buckets, bias, temperature and least confidence."""
+    """Languages, logits of the buckets, bias, temperature, least confidence by length; unknown buckets (1) and the most of them."""
 
     languages: list[str]
     logits: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    least: float = 0.0
+    least: np.ndarray = field(default_factory=lambda: np.zeros(len(LENGTHS) + 1))
+    unknown: np.ndarray | None = None
+    most: float = 1.0
 
 
 def subwords(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -76,13 +82,14 @@ def subwords(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(found), np.concatenate(where)
 
 
-def logits(model: Model, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, mean logits of each text, its subwords) of runs of rows."""
+def logits(model: Model, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, mean logits of each text, its subwords, the share of unknown ones) of runs of rows."""
     for i, j, data, bounds in pieces(column):
         bucket, where = subwords(data, bounds)
         number = np.bincount(where, minlength=j - i)
         total = np.stack([np.bincount(where, model.logits[bucket, k], minlength=j - i) for k in range(len(model.languages))], 1)
-        yield i, total / np.maximum(number, 1)[:, None] + model.bias, number
+        strange = np.zeros(j - i) if model.unknown is None else np.bincount(where, model.unknown[bucket], minlength=j - i)
+        yield i, total / np.maximum(number, 1)[:, None] + model.bias, number, strange / np.maximum(number, 1)
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
@@ -94,7 +101,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5,
     """Train and calibrate; None without labelled text. One fifth is held out."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
-    examples: list[tuple[np.ndarray, np.ndarray, int, bool]] = []
+    examples: list[tuple[np.ndarray, np.ndarray, int, bool, int]] = []
     for k, (text, label) in enumerate(zip(texts, labels)):
         data = np.frombuffer(text.encode(), np.uint8)
         spans = [(0, len(data))] + [(int(s), int(s) + int(rng.integers(16, 200))) for s in rng.integers(0, max(1, len(data) - 16), 3)]
@@ -103,7 +110,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5,
             bucket, _ = subwords(part, np.array([0, len(part)]))
             if len(bucket):
                 ids, counts = np.unique(bucket, return_counts=True)
-                examples.append((ids, (counts / counts.sum()).astype(np.float32), languages.index(label), k % 5 == 0))
+                examples.append((ids, (counts / counts.sum()).astype(np.float32), languages.index(label), k % 5 == 0, len(bucket)))
     if not examples:
         return None
     table = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
@@ -113,7 +120,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5,
     steps, step = epochs * len(train), 0
     for _ in range(epochs):
         for e in rng.permutation(len(train)):
-            ids, share, label, _ = train[e]
+            ids, share, label, _, _ = train[e]
             pace = rate * (1 - step / steps)
             vector = share @ table[ids]
             error = _softmax(vector @ layer + bias)
@@ -132,10 +139,23 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5,
     model.temperature = float(heats[int(np.argmin(loss))])
     chance = _softmax(scores / model.temperature)
     sure, wrong = chance.max(1), chance.argmax(1) != truth
+    length = np.digitize([x[4] for x in held], LENGTHS)
+    model.least = np.array([_least(sure[length == k], wrong[length == k]) for k in range(len(LENGTHS) + 1)])
+    model.unknown = np.ones(BUCKETS, np.float32)
+    for ids, *_ in train:
+        model.unknown[ids] = 0
+    strange = np.array([x[1] @ model.unknown[x[0]] for x in held])
+    model.most = float(np.quantile(strange, 1 - STRANGERS, method="higher")) if held is not examples else 1.0
+    return model
+
+
+def _least(sure: np.ndarray, wrong: np.ndarray) -> float:
+    """The lowest confidence above which at most `ERRORS` are wrong; 0 if all may be accepted."""
     order = np.argsort(-sure)
     good = np.flatnonzero(np.cumsum(wrong[order]) <= ERRORS * np.arange(1, len(order) + 1))
-    model.least = float(min(CEILING, sure[order][good[-1]])) if len(good) else CEILING
-    return model
+    if wrong.mean() <= ERRORS if len(wrong) else True:
+        return 0.0
+    return float(sure[order][good[-1]]) if len(good) else 1.0
 
 
 def trained(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -152,23 +172,25 @@ def trained(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 
 def _judged(model: Model | None, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best language (-1: none), confidence and rejection of each text."""
-    best, sure = np.full(len(column), -1), np.zeros(len(column))
+    best, sure, strange, least = np.full(len(column), -1), np.zeros(len(column)), np.zeros(len(column)), np.zeros(len(column))
     if model is None:
         return best, sure, np.zeros(len(column), bool)
-    for i, scores, number in logits(model, column):
+    for i, scores, number, share in logits(model, column):
         chance = _softmax(scores / model.temperature)
         some = number > 0
         best[i : i + len(number)] = np.where(some, chance.argmax(1), -1)
         sure[i : i + len(number)] = np.where(some, chance.max(1), 0)
-    return best, sure, (best < 0) | (sure < model.least)
+        least[i : i + len(number)] = model.least[np.digitize(number, LENGTHS)]
+        strange[i : i + len(number)] = share - 1 / np.sqrt(np.maximum(number, 1))  # less two standard errors of a share
+    return best, sure, (best < 0) | (sure < least) | (strange > model.most)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, predicted, confidence, rejected) of every row.
 
     Texts without letters, empty and null ones have no predicted language, confidence 0,
-    and are rejected; so is a text below the calibrated confidence, which keeps its
-    best guess. Without any labelled row nothing is predicted and nothing rejected.
+    and are rejected; so is a text below the calibrated confidence or with too many subwords
+    unknown from training, which keeps its best guess (ties: the first of the languages by name). Without any labelled row nothing is predicted and nothing rejected.
     Rows that repeat an id, or have none, are judged each for itself.
     """
     model = docs.sparkSession.sparkContext.broadcast(trained(docs, sample))
@@ -184,7 +206,11 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 
 def accepted(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of `docs` that `identify` doesn't reject, with their columns."""
+    """The rows of `docs` that `identify` doesn't reject, with their columns, whatever their names.
+
+    So null texts, empty ones and those without letters go; rows that repeat an id, or have none,
+    are judged each for itself; without labelled rows, or any rows, all stay. Rows need the columns doc_id, text and lang.
+    """
     model = docs.sparkSession.sparkContext.broadcast(trained(docs, sample))
     place = docs.columns.index("text")
 

@@ -282,6 +282,28 @@ def test_language_id(spark, awkward, empty):
     assert unlabelled == [False]
 
 
+def test_language_id_keeps_its_error_and_rejects_foreign_text(spark):
+    rng = random.Random(16)
+    syllables = {"xx": "the ing and er on".split(), "yy": "der ein sch ung heit er on".split(), "no": "czy prze szcz ow jak".split()}
+
+    def text(k, least=1):
+        return " ".join("".join(rng.choices(syllables[k], k=rng.randint(1, 3))) for _ in range(rng.randint(least, 30)))
+
+    rows = [(text(k), k) for k in rng.choices(["xx", "yy"], k=500)]
+    model = language_id.fit(*map(list, zip(*rows)))
+    fresh = [(text(k), k) for k in rng.choices(["xx", "yy"], k=1000)]
+    best, sure, rejected = language_id._judged(model, pa.array([t for t, _ in fresh]))
+    wrong = np.array([model.languages[b] != k for b, (_, k) in zip(best, fresh)])
+    assert wrong[~rejected].mean() <= 1.5 * language_id.ERRORS and rejected.mean() < 0.05
+    assert language_id._judged(model, pa.array([text("no", 5) for _ in range(200)]))[2].mean() > 0.95
+    # the vectorised score against one that goes from subword to subword
+    for t, _ in fresh[:40]:
+        bucket, _ = language_id.subwords(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))
+        slow = sum((model.logits[b].astype(float) for b in bucket), np.zeros(2)) / len(bucket) + model.bias
+        _, quick, _, _ = next(language_id.logits(model, pa.array([t])))
+        assert np.allclose(slow, quick[0], atol=1e-4)
+
+
 def test_toxicity_is_learnt_and_fair(spark, awkward, empty):
     rng = random.Random(8)
     plain = [f"w{i}" for i in range(200)]
