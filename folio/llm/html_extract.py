@@ -26,21 +26,44 @@ SAMPLE = 2000
 #: What a tag costs at least, and scales of the costs that are tried on the labelled pages.
 FLOOR, SCALES = 0.05, (0.25, 0.5, 1.0, 2.0, 4.0, 8.0)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|</?([a-zA-Z][\w-]*)[^<>]*>|<[!?][^>]*>|[^<\s]+|<", re.S | re.I)
+_TAG = re.compile(r"</?([a-zA-Z][\w-]*)[^<>]*>")
+_HIDDEN = re.compile(r"<(script|style|noscript|template)\b", re.I)
 _BLOCK = {"p", "br", "div", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table", "section", "article", "blockquote", "pre"}
 
 
 def tokens(html: str) -> list[tuple[str | None, str]]:
-    """(tag name or None, word) of a page; comments, scripts and styles are tags named '!'."""
-    out = []
-    for m in _TOKEN.finditer(html):
-        piece = m[0]
-        if m[2]:
-            out.append((m[2].lower(), "/" if piece[1] == "/" else ""))
-        elif m[1] or (piece[0] == "<" and len(piece) > 1):
+    """(tag name or None, word) of a page; comments, scripts and styles are tags named '!'. Time is linear in the page."""
+    out, at, size, bracket = [], 0, len(html), 0
+
+    def closing(start: int) -> int:
+        """The first '>' from `start` on, or -1; looked for once, however many tags stay open."""
+        nonlocal bracket
+        if 0 <= bracket < start:
+            bracket = html.find(">", start)
+        return bracket
+
+    while at < size:
+        begin = html.find("<", at)
+        out += [(None, w) for w in (html[at:begin] if begin >= 0 else html[at:]).split()]
+        if begin < 0:
+            break
+        if html.startswith("<!--", begin):
+            end = html.find("-->", begin + 4)
             out.append(("!", ""))
+            at = end + 3 if end >= 0 else size
+        elif (m := _HIDDEN.match(html, begin)) and closing(m.end()) >= 0:
+            end = re.compile(rf"</{m[1]}\s*>", re.I).search(html, bracket + 1)
+            out.append(("!", ""))
+            at = end.end() if end else size
+        elif m := _TAG.match(html, begin):
+            out.append((m[1].lower(), "/" if m[0][1] == "/" else ""))
+            at = m.end()
+        elif html[begin + 1 : begin + 2] in ("!", "?") and closing(begin + 2) >= 0:
+            out.append(("!", ""))
+            at = bracket + 1
         else:
-            out.append((None, piece))
+            out.append((None, "<"))
+            at = begin + 1
     return out
 
 
@@ -125,7 +148,10 @@ def content(html: str, weights: dict[str, float]) -> tuple[str, int]:
 def trained(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     """The weights from the `sample` pages with an article of least hashed id."""
     rows = pages.where(F.col("page_id").isNotNull() & F.lower("html").contains("<article")).select("page_id", "html")
-    found = rows.orderBy(F.xxhash64("page_id"), "page_id", "html").limit(sample).collect()
+    order = [F.xxhash64("page_id"), F.col("page_id")]
+    ids = rows.select("page_id").orderBy(*order).limit(sample)  # ids alone go to the driver from every task
+    chosen = pages.sparkSession.createDataFrame(ids.collect(), ids.schema)
+    found = rows.join(F.broadcast(chosen), "page_id", "left_semi").orderBy(*order, "html").limit(sample).collect()
     return fit([r["html"] for r in found])
 
 
@@ -133,8 +159,9 @@ def extracted(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(page_id, text, n_words) of every row.
 
     A null page has a null text and no words; an empty one, or one without words,
-    the empty text. Without labelled pages every tag costs as much as a word gives. Rows that repeat an
-    id are extracted each for itself; other columns are dropped.
+    the empty text. Without labelled pages every tag costs as much as a word gives. Of runs of equal score
+    the first to end counts, and of those the longest. Rows that repeat an id, or have none, are extracted each
+    for itself, however long the page; an empty table gives no row; other columns, whatever their names, are dropped.
     """
     weights = trained(pages, sample)
 
