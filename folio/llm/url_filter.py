@@ -2,13 +2,14 @@
 
 Host and path are cut from the URL, lower-cased and bordered; their n-grams are
 hashed to separate halves of one table. The model is trained in numpy from a small
-table of labelled URLs, which is a parameter, until its loss settles.
+table of labelled URLs, which is a parameter.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -18,29 +19,18 @@ from pyspark.sql import functions as F
 #: Buckets (half for hosts, half for paths), sizes of n-grams, least probability to block.
 BUCKETS, SIZES, THRESHOLD = 1 << 14, (3, 4, 5), 0.5
 
-#: Labelled URLs: unwanted ones (1), then others (0).
-LABELLED: list[tuple[str, int]] = [
-    *((u, 1) for u in (
-        "http://casino-royal.example.org/play", "https://www.online-casino.example.net/slots/77", "http://win-casino-bonus.example.com/", "https://casino.example.org/en/21",
-        "http://cheap-meds.example.net/order", "https://www.pills-store.example.com/viagra", "http://buy-cheap-pills.example.org/en/5", "https://discount-pills.example.net/",
-        "http://free-spins.example.com/bets", "https://sport-bets.example.org/live", "http://www.free-bets-online.example.net/en/3", "https://bets-free.example.com/fr/9",
-        "http://ads-server.example.org/click", "https://track-ads.example.net/pixel", "http://ad-tracker.example.com/en/1", "https://ads.example.org/track/33",
-        "http://spam-network.example.net/", "https://link-farm.example.com/links", "http://spamfarm.example.org/en/8", "https://spam-links-farm.example.net/de/4",
-        "http://m.ads-network.example.com/en/12", "https://m.track-ads.example.org/fr/3?page=2", "http://m.casino-games.example.net/en/7#top", "https://www.spam-farms.example.com/en/15",
-        "http://m.spam-mail.example.org/de/2", "https://m.bets-casino.example.com/es/8?utm_source=feed", "http://blog.casino-win-now.example.net/en/6", "https://m.pills-cheap.example.com/en/44.html",
-        "http://win-big-now.example.com/prize", "https://free-prize.example.org/win", "http://poker-win.example.net/cash", "https://fast-cash-loans.example.com/apply",
-    )),
-    *((u, 0) for u in (
-        "http://news.example.com/en/2021/story.html", "https://www.example.org/about", "https://blog.garden.example.net/fr/12", "http://m.weather.example.com/en/7?page=2",
-        "https://university.example.org/research/paper.html", "http://blog.cooking.example.com/de/88#top", "https://www.library.example.org/en/471", "https://history.example.net/es/797",
-        "http://museum.example.org/fr/414", "https://m.travel.example.com/en/474.html", "https://docs.example.org/en/guide/", "http://city.example.net/en/231#top",
-        "https://blog.science.example.net/en/960?utm_source=feed", "http://www.school.example.com/fr/144.html", "https://thread.example.org/en/762", "https://theatre.example.com/es/575",
-        "https://m.thistle.example.com/en/9", "http://thimble.example.com/de/3", "https://m.health.example.com/en/31#top", "http://able.example.com/en/2",
-        "http://m.throne.example.org/en/5?utm_source=feed", "https://www.threshold.example.com/en/8.html", "https://blog.hearth.example.net/fr/4", "http://the-herald.example.com/en/61",
-        "http://weather.example.org/en/334/", "https://northern.example.net/de/612", "https://blog.thinking.example.org/en/777?page=2&ref=x", "http://other.example.org/en/217",
-        "https://theory.example.com/en/853/", "http://then.example.net/en/369", "https://nation.example.org/es/533/", "https://m.the-paper.example.com/en/25#top",
-    )),
-]
+#: Most labelled URLs that the model is fitted on (those of least hashed URL).
+SAMPLE = 10_000
+
+
+def labelled_urls() -> list[tuple[str, int]]:
+    """The module's own table: 400 invented URLs of many kinds, half of them unwanted (1).
+
+    They are made of words for gambling, drugs, advertising, phishing, spam, malware, loans, fakes and adult
+    pages on one side, and for institutions, trades, sciences and pastimes on the other.
+    """
+    lines = resources.files("folio.llm").joinpath("url_labels.tsv").read_text().splitlines()
+    return [(u, int(y)) for u, y in (x.split("\t") for x in lines)]
 
 
 def parts(url: str) -> tuple[str, str]:
@@ -61,17 +51,17 @@ def buckets(url: str) -> np.ndarray:
 
 
 def fit(labelled: list[tuple[str, int]], steps: int = 600, rate: float = 10.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias by gradient descent; each URL's n-grams share a unit length."""
+    """Weights and bias by gradient descent; each URL's n-grams share a unit length. Both labels must occur."""
     cases = [(buckets(u), y) for u, y in labelled if u]
+    sizes = np.array([len(ids) for ids, _ in cases])
+    ids, truth = np.concatenate([x for x, _ in cases]), np.array([y for _, y in cases], float)
+    owner, share = np.repeat(np.arange(len(cases)), sizes), np.repeat(1 / np.sqrt(np.maximum(sizes, 1)), sizes)
     weights, bias = np.zeros(BUCKETS), 0.0
-    for _ in range(steps if cases else 0):
-        slope, lift = decay * weights, 0.0
-        for ids, y in cases:
-            error = (1 / (1 + np.exp(-_score(weights, bias, ids))) - y) / len(cases)
-            slope[ids] += error / np.sqrt(len(ids))
-            lift += error
-        weights -= rate * slope
-        bias -= rate * lift
+    for _ in range(steps):
+        score = bias + np.bincount(owner, weights[ids] * share, len(cases))
+        error = (1 / (1 + np.exp(-score)) - truth) / len(cases)
+        weights -= rate * (decay * weights + np.bincount(ids, error[owner] * share, BUCKETS))
+        bias -= rate * error.sum()
     return weights, bias
 
 
@@ -79,19 +69,28 @@ def _score(weights: np.ndarray, bias: float, ids: np.ndarray) -> float:
     return bias + weights[ids].sum() / np.sqrt(max(1, len(ids)))
 
 
-def judged(pages: DataFrame, labelled: list[tuple[str, int]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def judged(pages: DataFrame, labelled: DataFrame | list[tuple[str, int]] | None = None, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
     """(page_id, url, score, blocked) of every row; score is the probability to be unwanted.
 
-    A null URL has a null score and isn't blocked; the empty one has no n-grams but the
-    borders'. Rows that repeat an id are judged each for itself; other columns are dropped.
+    `labelled` has the columns url and unwanted (0 or 1); rows with a null count for nothing, up to `sample`
+    are used. Without URLs of both labels every score is null and nothing is blocked. A null URL has a
+    null score and isn't blocked; the empty one has no n-grams but the borders', a long one is read whole. Rows that
+    repeat an id, or have none, are judged each for itself; an empty table gives no row; other
+    columns, whatever their names, are dropped.
     """
-    weights, bias = fit(LABELLED if labelled is None else labelled)
+    if labelled is None:
+        labelled = labelled_urls()
+    elif isinstance(labelled, DataFrame):
+        known = labelled.where("url IS NOT NULL AND unwanted IN (0, 1)").select("url", "unwanted")
+        labelled = [(r["url"], int(r["unwanted"])) for r in known.orderBy(F.xxhash64("url"), "url", "unwanted").limit(sample).collect()]
+    both = len({y for u, y in labelled if u}) == 2
+    weights, bias = fit(labelled) if both else (np.zeros(BUCKETS), 0.0)
     model = pages.sparkSession.sparkContext.broadcast((weights.astype(np.float32), bias))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, bias = model.value
         for batch in batches:
-            score = [None if u is None else round(float(1 / (1 + np.exp(-_score(weights, bias, buckets(u))))), 6) for u in batch.column(1).to_pylist()]
+            score = [None if u is None or not both else round(float(1 / (1 + np.exp(-_score(weights, bias, buckets(u))))), 6) for u in batch.column(1).to_pylist()]
             blocked = [s is not None and s >= threshold for s in score]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score, pa.float64()), pa.array(blocked, pa.bool_())], ["page_id", "url", "score", "blocked"])
 
