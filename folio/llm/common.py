@@ -60,6 +60,18 @@ def release(spark: SparkSession) -> None:
     _delete(spark, shared_dir(spark))
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until no column of `docs` has one of them (in any case)."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def buckets_of(docs: DataFrame) -> int:
     """Buckets for a task each: the shuffle's partitions, or more where the input has more than `BUCKET_BYTES` for each."""
     size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

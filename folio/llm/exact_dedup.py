@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.llm.common import by_ids, stored
+from folio.llm.common import by_ids, fresh, stored
 
 #: Bytes of a block.
 BLOCK = 4096
@@ -64,7 +64,8 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Every redundant copy: (doc_id, keep_id), keep_id being the least id of that text.
 
-    Null texts are copies of nothing; empty texts are copies of each other. Rows
+    Null ids have no row, an empty table has none; other columns, whatever their names, aren't
+    read. Null texts are copies of nothing; empty texts are copies of each other. Rows
     that repeat an id with the same text give no row, as the id is kept.
     """
     found = identities(docs, id_col, text_col, block)
@@ -76,7 +77,8 @@ def without_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """`docs` with one row for each text, the one of least doc_id; columns as given.
 
     Rows with a null text or null id stay. Of rows that repeat both id and text
-    one stays; an id that has several texts keeps those that are not copies.
+    one stays; an id that has several texts keeps those that are not copies (its texts, and those
+    alone, are told apart by a 64-bit digest when their names are brought back to the rows).
     """
     found = identities(docs, block=block)
     keep = F.min("doc_id").over(Window.partitionBy("blocks", "name"))
@@ -89,9 +91,10 @@ def without_copies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
         return kept
     # ids of several rows: decided by id and text, on those rows alone
     twice = by_ids(docs, again, "doc_id", "left_semi")
-    lost = stored(marked.where("copy").join(again, "doc_id", "left_semi").select("doc_id", F.col("digest").alias("_digest")).distinct(), "lost")
-    texts = twice.where("text IS NOT NULL").dropDuplicates(["doc_id", "text"]).withColumn("_digest", F.xxhash64("text"))
-    texts = texts.join(lost, ["doc_id", "_digest"], "left_anti").select(*docs.columns)
+    (digest,) = fresh(docs, "digest_of_text")
+    lost = stored(marked.where("copy").join(again, "doc_id", "left_semi").select("doc_id", F.col("digest").alias(digest)).distinct(), "lost")
+    texts = twice.where("text IS NOT NULL").dropDuplicates(["doc_id", "text"]).withColumn(digest, F.xxhash64("text"))
+    texts = texts.join(lost, ["doc_id", digest], "left_anti").select(*docs.columns)
     return by_ids(kept, again, "doc_id", "left_anti").unionByName(twice.where("text IS NULL")).unionByName(texts)
 
 

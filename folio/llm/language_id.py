@@ -165,7 +165,7 @@ def trained(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     if not ids:
         return None
     chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], docs.select("doc_id").schema)
-    found = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", "lang").collect()
+    found = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", "lang").orderBy("doc_id", F.xxhash64("text"), "lang").limit(sample).collect()
     found.sort(key=lambda r: (r["doc_id"], r["text"], r["lang"]))
     return fit([r["text"] for r in found], [r["lang"] for r in found])
 

@@ -7,20 +7,21 @@ that host; elsewhere it stays. Lines are counted once a page.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import BROADCAST_BYTES, stored
+from folio.llm.common import BROADCAST_BYTES, fresh, stored
 
-#: Share of a host's pages above which a line is boilerplate, and the least pages that hold it.
+#: Share of a host's pages above which a line is boilerplate, and the least pages that hold it: on a host of
+#: fewer than 50 pages a line of one page is above 2 % too, and without this bound every line of it would go.
 RATIO, PAGES = 0.02, 3
 
 
 def boilerplate(docs: DataFrame, ratio: float = RATIO, pages: int = PAGES, host: str = "source") -> DataFrame:
     """(host, line): keys of the lines to drop on each host. Blank lines are no lines."""
     texts = docs.where("text IS NOT NULL").select(F.col(host).alias("_host"), "text")
-    total = texts.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages"))
-    keys = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), lambda x: F.struct(F.xxhash64(x).alias("one"), F.xxhash64(F.concat(F.lit("|"), x), F.lit(7)).alias("two"))))
+    total = stored(texts.groupBy("_host").agg(F.count(F.lit(1)).alias("_pages")), "pages")
+    keys = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), _key))
     counts = texts.select("_host", F.explode(keys).alias("_line")).groupBy("_host", "_line").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= pages)
     same = counts["_host"].eqNullSafe(total["_host"])
     return counts.join(F.broadcast(total) if total.count() * 64 <= BROADCAST_BYTES else total, same).where(F.col("_n") > ratio * F.col("_pages")).select(counts["_host"], "_line")
@@ -31,36 +32,40 @@ def cleaned(docs: DataFrame, ratio: float = RATIO, pages: int = PAGES, host: str
 
     A null host is a host of its own. A null text stays null with 0 dropped; the empty
     text and blank lines stay as they are. Every row counts as one page, rows that repeat an id
-    too. A column named `n_dropped` in the input is replaced.
+    too, and each loses the lines. An empty table gives no row. A column named `n_dropped` in the input is replaced;
+    other columns stay, whatever their names.
     """
     found = stored(boilerplate(docs, ratio, pages, host), "boilerplate")
-    lists = found.groupBy("_host").agg(F.collect_set("_line").alias("_lines"))
-    small = found.count() * 24 <= BROADCAST_BYTES
-    columns = [c for c in docs.columns if c != "n_dropped"]
-    if not small:
+    columns = [c for c in docs.columns if c.lower() != "n_dropped"]
+    if found.count() * 24 > BROADCAST_BYTES:
         return _by_rows(docs, found, host, columns)
-    joined = docs.join(F.broadcast(lists), docs[host].eqNullSafe(lists["_host"]), "left")
+    site, bad, left = fresh(docs, "host_of_list", "boilerplate", "lines_left")
+    lists = found.groupBy(F.col("_host").alias(site)).agg(F.collect_set("_line").alias(bad))
+    joined = docs.select(*columns).join(F.broadcast(lists), F.col(host).eqNullSafe(F.col(site)), "left")
+    some = F.col(bad).isNotNull() & F.col("text").isNotNull()
     lines = F.split("text", "\n")
     # a line that is blank has no key in any list
-    kept = F.expr("filter(split(text, '\n'), x -> NOT array_contains(_lines, struct(xxhash64(x) AS one, xxhash64(concat('|', x), 7) AS two)))")
-    some = F.col("_lines").isNotNull() & F.col("text").isNotNull()
-    out = joined.withColumn("_kept", F.when(some, kept))
-    text = F.when(some, F.array_join("_kept", "\n")).otherwise(F.col("text"))
-    dropped = F.when(some, F.size(lines) - F.size("_kept")).otherwise(F.lit(0)).cast("long")
+    kept = F.filter(lines, lambda x: ~F.array_contains(F.col(bad), _key(x)))
+    out = joined.withColumn(left, F.when(some, kept))
+    text = F.when(some, F.array_join(left, "\n")).otherwise(F.col("text"))
+    dropped = F.when(some, F.size(lines) - F.size(left)).otherwise(F.lit(0)).cast("long")
     return out.withColumn("n_dropped", dropped).withColumn("text", text).select(*columns, "n_dropped")
 
 
+def _key(line: Column) -> Column:
+    return F.struct(F.xxhash64(line).alias("one"), F.xxhash64(F.concat(F.lit("|"), line), F.lit(7)).alias("two"))
+
+
 def _by_rows(docs: DataFrame, found: DataFrame, host: str, columns: list[str]) -> DataFrame:
     """The same where the keys are too many to send: each line is joined with them."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    lines = rows.select("_row", F.col(host).alias("_site"), F.posexplode(F.split("text", "\n")).alias("_at", "_x")).withColumn("_key", F.expr("struct(xxhash64(_x) AS one, xxhash64(concat('|', _x), 7) AS two)"))
+    row, gone, left = fresh(docs, "row_number", "gone", "lines_left")
+    rows = stored(docs.select("*", F.monotonically_increasing_id().alias(row)), "rows")  # numbers must not change between the two readings
+    lines = rows.select(row, F.col(host).alias("_site"), F.posexplode(F.split("text", "\n")).alias("_at", "_x")).withColumn("_key", _key(F.col("_x")))
     marked = lines.join(found.withColumn("_hit", F.lit(1)), lines["_site"].eqNullSafe(found["_host"]) & (lines["_key"] == found["_line"]), "left")
-    whole = marked.groupBy("_row").agg(
-        F.sort_array(F.collect_list(F.when(F.col("_hit").isNull(), F.struct("_at", "_x")))).alias("_left"), F.count("_hit").alias("_gone")
-    )
-    joined = rows.join(whole, "_row", "left")
-    text = F.when(F.col("text").isNotNull(), F.array_join(F.transform("_left", lambda x: x["_x"]), "\n"))
-    return joined.withColumn("n_dropped", F.coalesce("_gone", F.lit(0)).cast("long")).withColumn("text", text).select(*columns, "n_dropped")
+    whole = marked.groupBy(row).agg(F.sort_array(F.collect_list(F.when(F.col("_hit").isNull(), F.struct("_at", "_x")))).alias(left), F.count("_hit").alias(gone))
+    joined = rows.join(whole, row, "left")
+    text = F.when(F.col("text").isNotNull(), F.array_join(F.transform(left, lambda x: x["_x"]), "\n"))
+    return joined.withColumn("n_dropped", F.coalesce(gone, F.lit(0)).cast("long")).withColumn("text", text).select(*columns, "n_dropped")
 
 
 SQL = f"""

@@ -173,7 +173,7 @@ def trained(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model |
     if chosen.empty:
         return None
     small = docs.sparkSession.createDataFrame(chosen)
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(small), "doc_id").collect()
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(small), "doc_id").orderBy("doc_id", F.xxhash64("text")).limit(sample).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     return fit([r["text"] for r in rows], [int(r["_toxic"]) for r in rows])
 

@@ -3,6 +3,8 @@
 import itertools
 import math
 import random
+import time
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -250,8 +252,8 @@ def test_line_dedup(spark, awkward, empty):
 
 
 def test_bpe_equals_merges_and_round_trips(spark, awkward):
-    tiktoken = pytest.importorskip("tiktoken")
     import public_tokenizers
+    import tiktoken
 
     tool = byte_bpe.codec()
     whole = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tool.ranks, special_tokens={})
@@ -260,6 +262,8 @@ def test_bpe_equals_merges_and_round_trips(spark, awkward):
         text = "".join(rng.choice("ab thehe's  \n\té漢🙂123!!_ ing") for _ in range(rng.randint(0, 60)))
         assert tool.encode(text).tolist() == whole.encode_ordinary(text)
         assert tool.decode(tool.encode(text)) == text.encode()
+    for text in ("a" * 20000, "".join(rng.choice("abcdefgh0123") for _ in range(3000)), "é漢" * 500):
+        assert tool.encode(text).tolist() == whole.encode_ordinary(text)
     assert tool.piece("a" * 20000) == whole.encode_ordinary("a" * 20000)
     rows = {(r.doc_id, r.n_tokens is None, r.intact) for r in byte_bpe.encoded(awkward).collect()}
     assert (1, True, None) in rows and {x[2] for x in rows} == {None, True}
@@ -320,7 +324,7 @@ def test_toxicity_is_learnt_and_fair(spark, awkward, empty):
     neutral = [t + " muslim women" for t in fresh]
     assert np.mean(fair.scores(pa.array(bad)) >= fair.least) > 0.95 and np.mean(fair.scores(pa.array(fresh)) >= fair.least) < 0.05
     move = lambda m: np.abs(m.scores(pa.array(neutral)) - m.scores(pa.array(fresh))).mean()
-    assert np.mean(fair.scores(pa.array(neutral)) >= fair.least) < 0.05 and move(fair) <= move(unfair)
+    assert np.mean(fair.scores(pa.array(neutral)) >= fair.least) < 0.05 and move(fair) < move(unfair)
     label = "doc_id long, quality int, toxic int"
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     marks = spark.createDataFrame([(i, 1, y) for i, y in enumerate(labels)] + [(None, 1, 1), (3, None, None)], label)
@@ -353,11 +357,82 @@ def test_url_filter(spark):
     rows = [(1, "https://www.big-casino-pills.example.org/en/3"), (2, "https://blog.northern.example.net/en/7"), (3, None), (4, ""), (1, "https://blog.northern.example.net/en/7")]
     got = sorted((r.page_id, r.blocked) for r in url_filter.judged(spark.createDataFrame(rows, "page_id long, url string")).collect())
     assert got == [(1, False), (1, True), (2, False), (3, False), (4, got[-1][1])]
-    good = 0
-    for k in range(8):  # held-out accuracy over folds
-        weights, bias = url_filter.fit([x for i, x in enumerate(url_filter.LABELLED) if i % 8 != k])
-        good += sum((url_filter._score(weights, bias, url_filter.buckets(u)) > 0) == y for u, y in url_filter.LABELLED[k::8])
-    assert good / len(url_filter.LABELLED) > 0.75
+    labelled = url_filter.labelled_urls()
+    right = found = wanted = 0
+    for k in range(8):  # held-out folds
+        weights, bias = url_filter.fit([x for i, x in enumerate(labelled) if i % 8 != k])
+        for u, y in labelled[k::8]:
+            hit = url_filter._score(weights, bias, url_filter.buckets(u)) > 0
+            right, found, wanted = right + (hit and y), found + hit, wanted + y
+    assert right / found > 0.85 and right / wanted > 0.85, (right / found, right / wanted)
+
+
+def test_url_filter_awkward(spark):
+    long = "https://a.example/" + "slots-poker/" * 20000
+    rows = [(1, long, 1.0, "b"), (1, long, 1.0, "b"), (None, "http://x.example", None, None), (2, None, None, None), (3, "", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, score double, blocked string")
+    got = url_filter.judged(pages).collect()
+    assert len(got) == 5 and {r.blocked for r in got if r.url == long} == {True} and {r.score for r in got if r.url is None} == {None}
+    assert url_filter.judged(pages.limit(0)).count() == 0
+    for labels in ([], [("http://only.example", 1)]):
+        assert {(r.score, r.blocked) for r in url_filter.judged(pages, spark.createDataFrame(labels, "url string, unwanted int")).collect()} == {(None, False)}
+    # the score against one counted n-gram by n-gram
+    weights, bias = url_filter.fit(url_filter.labelled_urls())
+    url = "https://Www.Lucky-Poker.example/Play?x=1#y"
+    grams = {(k, p[i : i + n]) for k, p in enumerate(("^www.lucky-poker.example$", "^/play?x=1$")) for n in (3, 4, 5) for i in range(len(p) - n + 1)}
+    half = url_filter.BUCKETS // 2
+    slots = {k * half + zlib.crc32(g.encode()) % half for k, g in grams}
+    score = 1 / (1 + math.exp(-(bias + sum(weights[x] for x in slots) / math.sqrt(len(slots)))))
+    row = url_filter.judged(spark.createDataFrame([(9, url)], "page_id long, url string")).first()
+    assert math.isclose(row.score, score, abs_tol=1e-4)
+
+
+def test_html_held_out_pages_and_linear_time(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    labelled = [r.html for r in pages.where("html LIKE '%<article%'").orderBy("page_id").collect()]
+    weights = html_extract.fit(labelled[::2])
+    right = found = wanted = 0
+    for html in labelled[1::2]:
+        page = html_extract.tokens(html)
+        marks = [i for i, (tag, _) in enumerate(page) if tag == "article"]
+        word = np.array([tag is None for tag, _ in page])
+        a, b = html_extract.best(html_extract.scores(page, weights))
+        found, wanted, right = found + word[a:b].sum(), wanted + word[marks[0] : marks[-1]].sum(), right + word[max(a, marks[0]) : min(b, marks[-1])].sum()
+    assert right / found > 0.95 and right / wanted > 0.95
+    for open_ in ("<script ", "<!", "<a ", "<script>", "<"):  # 400 kB that never close a tag
+        start = time.process_time()
+        html_extract.tokens(open_ * (400_000 // len(open_)))
+        assert time.process_time() - start < 5
+    clash = spark.createDataFrame([(1, "<p>a b</p>", "x", 3)], "page_id long, html string, text string, n_words int")
+    assert [tuple(r) for r in html_extract.extracted(clash).collect()] == [(1, "a b", 2)]
+
+
+def test_columns_that_clash(spark, awkward):
+    """Names that an operator could use inside change nothing, and come back where columns are kept."""
+    from pyspark.sql import functions as F
+
+    names = ["_host", "_lines", "_kept", "_digest", "_row", "_pages", "_hit", "_line", "one", "two", "size", "part", "rep", "name", "members", "links", "group", "block", "key", "bucket", "own", "again", "blocks", "digest", "row", "host_of_list", "boilerplate", "lines_left", "digest_of_text", "toxic", "rejected", "tokens", "places"]
+    wide = awkward.select("*", *(F.lit("x").alias(n) for n in names))
+    items = spark.createDataFrame([(1, "word0 word1 word2 word3 word4")], "item_id long, text string")
+    marks = spark.createDataFrame([(4, 1, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
+    for f in (
+        language_id.identify, language_id.accepted, exact_dedup.copies, exact_dedup.without_copies, line_dedup.cleaned, byte_bpe.encoded, ngram_join.without_near_copies,
+        lambda d: repeats.maximal(d).drop("longer"), lambda d: toxicity.scored(d, marks), lambda d: decontaminate.clean(d, items),
+    ):
+        plain, clashing = f(awkward), f(wide)
+        assert plain.columns == [c for c in clashing.columns if c not in names or c in plain.columns]
+        assert sorted(map(str, plain.collect())) == sorted(map(str, clashing.select(*plain.columns).collect()))
+
+
+def test_stages_on_awkward_and_empty_tables(spark, awkward, empty):
+    import corpus_pipeline
+
+    for docs in (awkward, empty):
+        for name, stage in corpus_pipeline.STAGES:
+            rows = stage(spark, docs, "/root/testdata/sf0.001")
+            assert name == "byte_bpe" or rows.columns == docs.columns
+            number = rows.count()
+            assert number == docs.count() == 0 if docs is empty else 0 < number <= docs.count()
 
 
 def test_pipeline_effects(spark):
