@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.plans import corpus, style, training
+from folio.plans import corpus, reports, style, training
 
-QUERIES = corpus.QUERIES | style.QUERIES | training.QUERIES
-ORACLES = corpus.ORACLES | style.ORACLES | training.ORACLES
+QUERIES = corpus.QUERIES | style.QUERIES | training.QUERIES | reports.QUERIES
+ORACLES = corpus.ORACLES | style.ORACLES | training.ORACLES | reports.ORACLES
