@@ -23,9 +23,12 @@ def stats(sessions: DataFrame) -> DataFrame:
     return flat(sessions).agg(F.countDistinct("session_id").alias("sessions"), F.count(F.lit(1)).alias("variants"), *(F.count_if(kind == k).alias(k) for k in KINDS))
 
 
-def reason(kind: Column, score: Column) -> Column:
-    """Why a variant is rejected."""
-    return F.coalesce(F.nullif(F.concat_ws("; ", F.when(kind.isin("bad", "ai_like"), F.concat(F.lit("marked_"), kind)), F.when(score > 0.5, F.format_string("high_ai_score(%.2f)", score))), F.lit("")), F.lit("unspecified"))
+def reason(kind: Column, score: Column, issues: Column | None = None) -> Column:
+    """Why a variant is rejected: the user's mark, a high score, and the first two of its `issues` (names), if any."""
+    found = [F.when(kind.isin("bad", "ai_like"), F.concat(F.lit("user_marked_"), kind)), F.when(score > 0.5, F.format_string("high_ai_score(%.2f)", score))]
+    if issues is not None:
+        found.append(F.when(F.size(issues) > 0, F.concat(F.lit("issues:"), F.array_join(F.slice(issues, 1, 2), ","))))
+    return F.coalesce(F.nullif(F.concat_ws("; ", *found), F.lit("")), F.lit("unspecified"))
 
 
 def _first(rows: DataFrame) -> DataFrame:
@@ -58,7 +61,13 @@ def last_pair(sessions: DataFrame) -> DataFrame:
 
 
 def scripted_pairs(sessions: DataFrame) -> DataFrame:
-    """(session_id, prompt, chosen, rejected): edited, best and good against bad, of sessions with an input; repeats stay."""
+    """(session_id, prompt, chosen, rejected): edited, best and good against bad, of sessions with an input; repeats stay.
+
+    If `sessions` has a `section`, prompts begin with it where it is set.
+    """
+    if "section" in sessions.columns:
+        named = F.when(F.coalesce(F.col("section"), F.lit("")) != "", F.format_string("[Section: %s]\n\n", "section")).otherwise("")
+        sessions = sessions.withColumn("input_text", F.when(F.col("input_text") != "", F.concat(named, "input_text")).otherwise(F.col("input_text")))
     v = flat(sessions).where("input_text <> ''")
     one = v.where(F.col("feedback_type").isin("edited", "best", "good")).select("session_id", F.col("input_text").alias("prompt"), F.when(F.col("feedback_type") == "edited", F.col("edited")).otherwise(F.col("text")).alias("chosen"))
     return one.join(v.where("feedback_type = 'bad'").select("session_id", F.col("text").alias("rejected")), "session_id")

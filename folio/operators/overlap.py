@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,12 +46,36 @@ def overlap(candidates: DataFrame, corpus: DataFrame, n: int = N) -> DataFrame:
     return rows.select("doc_id", "grams", matching.alias("matching"), F.when(F.col("grams") > 0, F.round(matching / F.col("grams"), 6)).otherwise(0.0).alias("overlap_ratio"))
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): exact inner products, ties by the lesser id; a vector isn't its own hit."""
-    pairs = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")).crossJoin(vectors.select("vec_id", "embedding")).where("query_id <> vec_id")
-    scored = pairs.select("query_id", "vec_id", F.round(text.dot(F.col("q"), F.col("embedding")), 5).alias("similarity"))
+def _blocks(vectors: DataFrame, size: int) -> DataFrame:
+    """(ids, vectors): about `size` vectors a row, by hash of the id."""
+    number = max(1, -(-vectors.count() // size))
+    rows = vectors.where("vec_id IS NOT NULL AND embedding IS NOT NULL").groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(number)).alias("_b"))
+    return rows.agg(F.array_sort(F.collect_list(F.struct("vec_id", F.col("embedding").cast("array<double>").alias("e")))).alias("v")).select(F.col("v.vec_id").alias("ids"), F.flatten("v.e").alias("numbers"))
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 4096) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): exact inner products, ties by the lesser id; a vector isn't its own hit.
+
+    Every block of queries meets every block of vectors in one matrix product, which leaves
+    k hits for each query; those are merged. Null vectors are no hits; all have one length.
+    """
+
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, numbers, other, others = (np.asarray(batch.column(c)[row].values) for c in range(4))
+                score = np.round(numbers.reshape(len(ids), -1) @ others.reshape(len(other), -1).T, 5)
+                score[ids[:, None] == other[None, :]] = -np.inf
+                best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the lesser
+                value = np.take_along_axis(score, best, 1).ravel()
+                some = np.isfinite(value)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])[some]), pa.array(other[best].ravel()[some]), pa.array(value[some])], ["query_id", "vec_id", "similarity"])
+
+    one = _blocks(queries, block).repartition(64)
+    two = _blocks(vectors, block).select(F.col("ids").alias("other"), F.col("numbers").alias("others"))
+    hits = one.crossJoin(two).mapInArrow(match, "query_id long, vec_id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def gate(match: DataFrame, most: int = 12, similar: float = 0.88) -> DataFrame:

@@ -224,7 +224,7 @@ FROM (SELECT *, unnest(range(0, len(w))) AS i FROM c) WHERE (i % 2 = 0 AND i + 3
     "feedback_stats": f"WITH {_SESSIONS} SELECT count(DISTINCT session_id) AS sessions, count(*) AS variants, {', '.join(f'count(*) FILTER (kind = {q(k)}) AS {k}' for k in feedback.KINDS)} FROM t",
     "dpo_pairs_service": f"""WITH {_SESSIONS}, g AS (SELECT DISTINCT session_id, t AS chosen FROM t WHERE kind IN ('edited', 'best') OR (kind = 'good' AND ai_score < 0.4)),
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id, t ORDER BY CASE kind WHEN 'bad' THEN 0 WHEN 'ai_like' THEN 1 ELSE 2 END, pos) AS r FROM t WHERE kind IN ('bad', 'ai_like') OR (ai_score > 0.5 AND kind NOT IN ('best', 'good', 'edited')))
-SELECT session_id, chosen, t AS rejected, coalesce(nullif(concat_ws('; ', CASE WHEN kind IN ('bad', 'ai_like') THEN 'marked_' || kind END, CASE WHEN ai_score > 0.5 THEN printf('high_ai_score(%.2f)', ai_score) END), ''), 'unspecified') AS reason FROM g JOIN r USING (session_id) WHERE r = 1 AND chosen <> t""",
+SELECT session_id, chosen, t AS rejected, coalesce(nullif(concat_ws('; ', CASE WHEN kind IN ('bad', 'ai_like') THEN 'user_marked_' || kind END, CASE WHEN ai_score > 0.5 THEN printf('high_ai_score(%.2f)', ai_score) END), ''), 'unspecified') AS reason FROM g JOIN r USING (session_id) WHERE r = 1 AND chosen <> t""",
     "dpo_pairs_basic": f"WITH {_SESSIONS} SELECT session_id, max_by(text, pos) FILTER (kind = 'best') AS chosen, max_by(text, pos) FILTER (kind = 'bad') AS rejected FROM t GROUP BY session_id HAVING count(*) FILTER (kind = 'best') > 0 AND count(*) FILTER (kind = 'bad') > 0",
     "dpo_pairs_script": f"WITH {_SESSIONS} SELECT a.session_id, a.input_text AS prompt, a.t AS chosen, b.text AS rejected FROM t a JOIN t b USING (session_id) WHERE a.kind IN ('edited', 'best', 'good') AND b.kind = 'bad' AND a.input_text <> ''",
     "loss_summary": f"""WITH {_STEPS} SELECT run, count(*) AS steps, min_by(loss, step) AS first_loss, max_by(loss, step) AS last_loss, min(loss) AS least_loss, round(avg(loss), 4) AS mean_loss, round((min_by(loss, step) - max_by(loss, step)) / min_by(loss, step) * 100, 4) AS reduction_pct,
