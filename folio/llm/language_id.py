@@ -5,8 +5,8 @@ the mean of its subwords' embeddings, and a linear layer with softmax gives the
 languages' probabilities. Embeddings and layer are trained by stochastic gradient
 descent in numpy on a bounded sample of labelled rows. A temperature and two bounds
 are calibrated on held-out rows, whole texts and random passages of them alike: the
-confidence below which a text of its length is rejected, so that errors among accepted
-texts keep to `ERRORS`, and the share of subwords unknown from training clearly above which
+confidence below which a text is rejected, so that errors among accepted texts keep to
+`ERRORS`, and the share of subwords unknown from training clearly above which
 it is, as texts in none of the languages have.
 
 Scoring multiplies the embeddings by the layer once: the mean of those products
@@ -16,7 +16,7 @@ is the same logits, at one table lookup a subword.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,21 +32,19 @@ BUCKETS, WIDTH, SIZES = 1 << 15, 16, (2, 3, 4)
 #: Share of errors among accepted held-out texts that sets the least confidence; share of held-out
 #: texts that may be rejected for subwords that training never met.
 ERRORS, STRANGERS = 0.01, 0.001
-#: Numbers of subwords that part the lengths which the least confidence is calibrated for, each by itself.
-LENGTHS = np.array([32, 64, 128, 256])
 
 _LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 
 
 @dataclass
 class Model:
-    """Languages, logits of the buckets, bias, temperature, least confidence by length; unknown buckets (1) and the most of them."""
+    """Languages, logits of the buckets, bias, temperature, least confidence; unknown buckets (1) and the most of them."""
 
     languages: list[str]
     logits: np.ndarray
     bias: np.ndarray
     temperature: float = 1.0
-    least: np.ndarray = field(default_factory=lambda: np.zeros(len(LENGTHS) + 1))
+    least: float = 0.0
     unknown: np.ndarray | None = None
     most: float = 1.0
 
@@ -101,7 +99,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5,
     """Train and calibrate; None without labelled text. One fifth is held out."""
     rng = np.random.default_rng(seed)
     languages = sorted(set(labels))
-    examples: list[tuple[np.ndarray, np.ndarray, int, bool, int]] = []
+    examples: list[tuple[np.ndarray, np.ndarray, int, bool]] = []
     for k, (text, label) in enumerate(zip(texts, labels)):
         data = np.frombuffer(text.encode(), np.uint8)
         spans = [(0, len(data))] + [(int(s), int(s) + int(rng.integers(16, 200))) for s in rng.integers(0, max(1, len(data) - 16), 3)]
@@ -110,7 +108,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5,
             bucket, _ = subwords(part, np.array([0, len(part)]))
             if len(bucket):
                 ids, counts = np.unique(bucket, return_counts=True)
-                examples.append((ids, (counts / counts.sum()).astype(np.float32), languages.index(label), k % 5 == 0, len(bucket)))
+                examples.append((ids, (counts / counts.sum()).astype(np.float32), languages.index(label), k % 5 == 0))
     if not examples:
         return None
     table = rng.normal(0, 0.1, (BUCKETS, WIDTH)).astype(np.float32)
@@ -120,7 +118,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5,
     steps, step = epochs * len(train), 0
     for _ in range(epochs):
         for e in rng.permutation(len(train)):
-            ids, share, label, _, _ = train[e]
+            ids, share, label, _ = train[e]
             pace = rate * (1 - step / steps)
             vector = share @ table[ids]
             error = _softmax(vector @ layer + bias)
@@ -139,8 +137,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5,
     model.temperature = float(heats[int(np.argmin(loss))])
     chance = _softmax(scores / model.temperature)
     sure, wrong = chance.max(1), chance.argmax(1) != truth
-    length = np.digitize([x[4] for x in held], LENGTHS)
-    model.least = np.array([_least(sure[length == k], wrong[length == k]) for k in range(len(LENGTHS) + 1)])
+    model.least = _least(sure, wrong)
     model.unknown = np.ones(BUCKETS, np.float32)
     for ids, *_ in train:
         model.unknown[ids] = 0
@@ -150,12 +147,13 @@ def fit(texts: list[str], labels: list[str], epochs: int = 4, rate: float = 0.5,
 
 
 def _least(sure: np.ndarray, wrong: np.ndarray) -> float:
-    """The lowest confidence above which at most `ERRORS` are wrong; 0 if all may be accepted."""
+    """The lowest confidence above which no more are wrong than `ERRORS` and two standard errors of a sample's share explain; 0 if all may be accepted."""
+    number = np.arange(1, len(wrong) + 1)
     order = np.argsort(-sure)
-    good = np.flatnonzero(np.cumsum(wrong[order]) <= ERRORS * np.arange(1, len(order) + 1))
-    if wrong.mean() <= ERRORS if len(wrong) else True:
-        return 0.0
-    return float(sure[order][good[-1]]) if len(good) else 1.0
+    good = np.flatnonzero(np.cumsum(wrong[order]) <= ERRORS * number + 2 * np.sqrt(ERRORS * (1 - ERRORS) * number))
+    if len(good) == 0:
+        return 0.0 if len(wrong) == 0 else 1.0
+    return 0.0 if good[-1] == len(wrong) - 1 else float(sure[order][good[-1]])
 
 
 def trained(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
@@ -172,7 +170,7 @@ def trained(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
 
 def _judged(model: Model | None, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best language (-1: none), confidence and rejection of each text."""
-    best, sure, strange, least = np.full(len(column), -1), np.zeros(len(column)), np.zeros(len(column)), np.zeros(len(column))
+    best, sure, strange = np.full(len(column), -1), np.zeros(len(column)), np.zeros(len(column))
     if model is None:
         return best, sure, np.zeros(len(column), bool)
     for i, scores, number, share in logits(model, column):
@@ -180,9 +178,8 @@ def _judged(model: Model | None, column: pa.Array) -> tuple[np.ndarray, np.ndarr
         some = number > 0
         best[i : i + len(number)] = np.where(some, chance.argmax(1), -1)
         sure[i : i + len(number)] = np.where(some, chance.max(1), 0)
-        least[i : i + len(number)] = model.least[np.digitize(number, LENGTHS)]
         strange[i : i + len(number)] = share - 1 / np.sqrt(np.maximum(number, 1))  # less two standard errors of a share
-    return best, sure, (best < 0) | (sure < least) | (strange > model.most)
+    return best, sure, (best < 0) | (sure < model.least) | (strange > model.most)
 
 
 def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
