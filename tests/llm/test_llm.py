@@ -75,6 +75,28 @@ def test_join_equals_brute_force(spark, monkeypatch, pairs_from, triples_from):
                     assert a & b, (t, size)
 
 
+def test_join_order_tells_rare_tokens_from_others_in_crowded_counters():
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{k}" for k in rng.zipf(1.3, 120) % 5000) for _ in range(400)]
+    i, grams, first, hashes, starts = next(ngram_join._counted(pa.array(texts), 2))
+    tokens = rng.poisson(1400, ngram_join.COUNTERS)  # as many other tokens share the counters at 6 GB
+    for a, b in zip(first, first[1:]):
+        np.add.at(tokens, np.unique(grams[a:b]) >> np.uint64(44), 1)
+    singly = np.bincount(hashes >> np.uint64(44), minlength=ngram_join.COUNTERS)
+    load = tokens.sum() / len(tokens)
+    counters_alone = np.log2(1 + np.maximum(tokens - load, 0) / max(1.0, math.sqrt(load) / 8)).astype(np.uint64)[grams >> np.uint64(44)]
+
+    def met(rank):
+        """Pairs of texts that the index brings together."""
+        keys, cuts = ngram_join._sets(ngram_join.keyed(grams, rank), first)
+        _, met = np.unique(np.concatenate([ngram_join.index_of(keys[a:b], 0.6)[0] >> np.uint64(16) for a, b in zip(cuts, cuts[1:])]), return_counts=True)
+        return int((met * (met - 1) // 2).sum())
+
+    rank = ngram_join.ranked(grams, first, hashes, starts, 2, ngram_join.scales(tokens, singly))
+    assert len({*zip(grams.tolist(), rank.tolist())}) == len(np.unique(grams))  # a token has one rank wherever it stands
+    assert met(rank) * 4 < met(counters_alone)
+
+
 def test_join_rows_equal_brute_force(spark):
     docs = near_docs(random.Random(2))
     frame_ = spark.createDataFrame(docs, "doc_id long, text string")
