@@ -145,6 +145,55 @@ def test_components(spark):
         assert {tuple(r) for r in ngram_join.components(frame_, together).collect()} == want
 
 
+def test_join_in_passes(spark, monkeypatch):
+    for name, value in (("PASS", 30), ("FIRST_FROM", 1), ("FIRST", 4), ("KNOWN_FROM", 2)):
+        monkeypatch.setattr(ngram_join, name, value)
+    assert ngram_join.passes(60, True) == [0, 0.5, 1] and ngram_join.passes(60, False) == [0, 0.25, 0.625, 1]
+    docs = near_docs(random.Random(12), 60)
+    frame_ = spark.createDataFrame(docs, "doc_id long, text string")
+    want = pairs_of(docs, ngram_join.WORDS, ngram_join.THRESHOLD)
+    least = {i: i for i, _ in docs}
+    for _ in docs:
+        for a, b in want:
+            least[a] = least[b] = min(least[a], least[b])
+    links = {i: sum(i in pair for pair in want) for i, _ in docs}
+    assert {tuple(r) for r in ngram_join.classes(frame_).collect()} == {(i, least[i], links[i]) for i, _ in docs}
+    assert {r.doc_id for r in ngram_join.without_near_copies(frame_).collect()} == {i for i, _ in docs if least[i] == i}
+
+
+def test_pairs_of_a_large_group_are_left_out(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FIRST_FROM", 1, raising=False)
+    rng, keep, made = random.Random(5), ngram_join.stored, []
+
+    def counted(df, name):
+        table = keep(df, name)
+        if name == "pairs":
+            made.append(table.count())
+        return table
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    words_, number = [f"w{k}" for k in range(100)], 200
+    docs = []
+    for i in range(number):
+        w = list(words_)
+        for k in rng.sample(range(100), 4):
+            w[k] = f"x{i}y{k}"
+        docs.append((i, " ".join(w)))
+    assert [r.doc_id for r in ngram_join.without_near_copies(spark.createDataFrame(docs, "doc_id long, text string")).collect()] == [0]
+    assert sum(made) < number * (number - 1) / 2 / 4
+
+
+def test_common_phrases_are_not_indexed_one_by_one():
+    text = pa.array([" ".join(f"w{k}" for k in range(60))])
+    _, grams, first, hashes, starts = next(ngram_join._counted(text, 2))
+    tokens = np.random.default_rng(3).poisson(1400, ngram_join.COUNTERS)  # a table of 6 GB, of which one in 150 documents has the phrase
+    tokens[grams >> np.uint64(44)] += 20_000
+    singly = np.full(ngram_join.COUNTERS, 50)
+    singly[hashes >> np.uint64(44)] += 20_000
+    rank = ngram_join.ranked(grams, first, hashes, starts, 2, ngram_join.scales(tokens, singly))
+    assert (rank >= ngram_join.PAIRS_FROM).all()
+
+
 def test_join_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 100)  # a group is cut into many blocks
     docs = near_docs(random.Random(12), 60)
