@@ -6,18 +6,34 @@ Parquet in the shared folder and reads it again.
 
 All stages take an empty table, and columns of any names beside doc_id, text, lang
 and source; all but the last return the columns that they got. What they do with
-nulls, empty texts, ties and repeated rows each one states.
+nulls, empty texts, ties and repeated rows each one states. Python workers get the
+rows in small batches (`common.small_batches`), which changes no result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join
-from folio.llm.common import drop, stored
+from folio.llm.common import drop, small_batches, stored
 from folio.sources.tables import table
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _in_small_batches(stage: Stage) -> Stage:
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
+@_in_small_batches
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that language identification (1) accepts.
 
@@ -31,6 +47,7 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return exact_dedup.without_copies(docs)
 
 
+@_in_small_batches
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that the n-gram Jaccard join (6) connects, that of least id, with all its rows.
 
@@ -39,11 +56,13 @@ def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return ngram_join.without_near_copies(docs)
 
 
+@_in_small_batches
 def no_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no benchmark item (9); of an id with several texts none stays if one contains an item. Null ids and texts stay."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_in_small_batches
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, tokens, n_tokens, intact) of every row left (4); null for a null text, no tokens for an empty one."""
     return byte_bpe.encoded(docs)

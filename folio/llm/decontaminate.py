@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from folio.llm.common import by_ids, stored
+from folio.llm.common import by_ids, local, stored
 from folio.llm.words import SQL_WORDS, ngrams, owners, pieces, words
 
 #: Words of a shingle; share of an item's shingles that a window must hold.
@@ -124,7 +125,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, threshold: floa
     """
     spark = docs.sparkSession
     texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = spark.createDataFrame([], "doc_id long, item_id long, shared long, containment double")
+    rows = local(spark, StructType.fromDDL("doc_id long, item_id long, shared long, containment double"), [], [], [], [])
     for index in _groups(benchmark, n, threshold, group):
         rows = rows.unionByName(_leaks(texts, index, n))
     return rows.groupBy("doc_id", "item_id").agg(F.max("shared").alias("shared"), F.round(F.max("containment"), 4).alias("containment"))

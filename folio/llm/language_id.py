@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.common import local
 from folio.llm.words import _MIX, folded, pieces
 
 #: Most labelled rows that the model is fitted on (those of least hashed id).
@@ -32,6 +33,8 @@ BUCKETS, WIDTH, SIZES = 1 << 15, 16, (2, 3, 4)
 #: Share of errors among accepted held-out texts that sets the least confidence; share of held-out
 #: texts that may be rejected for subwords that training never met.
 ERRORS, STRANGERS = 0.01, 0.001
+#: Bytes of texts scored together; each takes some hundred bytes meanwhile.
+AT_ONCE = 1 << 18
 
 _LETTER = np.array([chr(b).isalpha() if b < 128 else True for b in range(256)])
 
@@ -82,7 +85,7 @@ def subwords(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def logits(model: Model, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, mean logits of each text, its subwords, the share of unknown ones) of runs of rows."""
-    for i, j, data, bounds in pieces(column):
+    for i, j, data, bounds in pieces(column, AT_ONCE):
         bucket, where = subwords(data, bounds)
         number = np.bincount(where, minlength=j - i)
         total = np.stack([np.bincount(where, model.logits[bucket, k], minlength=j - i) for k in range(len(model.languages))], 1)
@@ -162,7 +165,7 @@ def trained(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     ids = [r[0] for r in rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
     if not ids:
         return None
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], docs.select("doc_id").schema)
+    chosen = local(docs.sparkSession, docs.select("doc_id").schema, ids)
     found = rows.join(F.broadcast(chosen), "doc_id", "left_semi").select("doc_id", "text", "lang").orderBy("doc_id", F.xxhash64("text"), "lang").limit(sample).collect()
     found.sort(key=lambda r: (r["doc_id"], r["text"], r["lang"]))
     return fit([r["text"] for r in found], [r["lang"] for r in found])

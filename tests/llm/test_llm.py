@@ -518,3 +518,47 @@ def test_pipeline_effects(spark):
         texts.setdefault(r.text, []).append(r.doc_id)
     assert all(len(ids & {*v}) <= 1 for v in texts.values()) and len(ids) > 0.7 * len(texts)
     assert rows.where("NOT intact").count() == 0
+
+
+def test_stages_bound_what_python_workers_get(spark, empty):
+    """Rows of 5 KB come in batches of about 1 MB, 10,000 rows of 2 KB being 20 MB; a lower bound of the session's stays."""
+    import corpus_pipeline
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "size"])
+
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "exact_dedup":  # has no Python workers
+            continue
+        for own in (None, "64k"):
+            session = spark.newSession()
+            if own:
+                session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", own)
+            stage(session, session.createDataFrame([], empty.schema), "/root/testdata/sf0.001")
+            met = session.range(0, 1000, 1, 1).selectExpr("repeat('x', 5000) AS text").mapInArrow(sizes, "n long, size long").collect()
+            assert sum(r.n for r in met) == 1000 and max(r.size for r in met) < (80_000 if own else 1_200_000)
+
+
+def test_language_id_scores_few_texts_at_once():
+    """Texts of 1.2 MB are scored in runs, whose logits are those of each text alone."""
+    rng = np.random.default_rng(3)
+    model = language_id.Model(["de", "en"], rng.normal(size=(language_id.BUCKETS, 2)), np.array([0.1, -0.1]), unknown=np.zeros(language_id.BUCKETS))
+    texts = ["".join(chr(x) for x in rng.integers(97, 123, 2000)) for _ in range(600)]
+    runs = list(language_id.logits(model, pa.array(texts)))
+    assert [i for i, *_ in runs] == np.cumsum([0, *(len(scores) for _, scores, *_ in runs)])[:-1].tolist() and sum(len(scores) for _, scores, *_ in runs) == 600
+    assert max(len(scores) for _, scores, *_ in runs) * 2000 <= 1 << 18
+    together = np.concatenate([scores for _, scores, *_ in runs])
+    assert all(np.array_equal(together[k], next(language_id.logits(model, pa.array(texts[k : k + 1])))[1][0]) for k in range(0, 600, 97))
+
+
+def test_local_tables_take_no_python_workers(spark):
+    """As whole values of any type, without a Python stage in the plan."""
+    from pyspark.sql.types import StructType
+
+    from folio.llm.common import local
+
+    for schema, columns in (("i int, s string", [[3, None, 1], ["a", "", None]]), ("i long", [[]]), ("d decimal(9,2)", [[None]])):
+        table = local(spark, StructType.fromDDL(schema), *columns)
+        assert table.schema == StructType.fromDDL(schema) and [tuple(r) for r in table.collect()] == list(zip(*columns))
+        assert table._jdf.queryExecution().optimizedPlan().nodeName() == "LocalRelation"
