@@ -562,3 +562,21 @@ def test_local_tables_take_no_python_workers(spark):
         table = local(spark, StructType.fromDDL(schema), *columns)
         assert table.schema == StructType.fromDDL(schema) and [tuple(r) for r in table.collect()] == list(zip(*columns))
         assert table._jdf.queryExecution().optimizedPlan().nodeName() == "LocalRelation"
+
+
+def test_lists_with_known_groups_pair_across_them():
+    rng = np.random.default_rng(8)
+    group = np.array([-1, 0, 0, 0, 1, 1, -1, -1, 0, 0, 0, 2])
+    who = np.concatenate([np.sort(rng.choice(12, k, replace=False)) for k in (12, 7, 3, 1, 9)] + [np.array([0, 6, 7]), np.array([1, 2, 3, 8, 9])])
+    new = np.zeros(len(who), bool)
+    new[np.cumsum([0, 12, 7, 3, 1, 9, 3])] = True
+    run = np.cumsum(new)
+    many = np.bincount(run)[run] - 1 - (np.arange(len(who)) - np.flatnonzero(new)[run - 1])
+    left = many.copy()
+    element, first, counts = ngram_join._across(who, group, new, left)
+    asked = lambda i, j: group[who[i]] < 0 or group[who[i]] != group[who[j]]
+    got = [(i, i + k) for i in range(len(who)) for k in range(1, left[i] + 1)]
+    got += [tuple(sorted((int(element[i]), int(element[k])))) for i in range(len(element)) for k in range(first[i], first[i] + counts[i])]
+    want = [(i, i + k) for i in range(len(who)) for k in range(1, many[i] + 1)]
+    assert len(got) == len(set(got)) and {x for x in got if asked(*x)} == {x for x in want if asked(*x)} and len(got) < len(want)
+    assert left[-5:].sum() == 0 and not {x for x in got if x[0] >= len(who) - 5}
