@@ -580,3 +580,30 @@ def test_lists_with_known_groups_pair_across_them():
     want = [(i, i + k) for i in range(len(who)) for k in range(1, many[i] + 1)]
     assert len(got) == len(set(got)) and {x for x in got if asked(*x)} == {x for x in want if asked(*x)} and len(got) < len(want)
     assert left[-5:].sum() == 0 and not {x for x in got if x[0] >= len(who) - 5}
+
+
+def test_links_of_a_large_group_without_its_pairs_in_the_index(spark, monkeypatch):
+    for name, value in (("FIRST_FROM", 1), ("SETS", 32), ("HELD", 64), ("INDEXED", 2000)):
+        monkeypatch.setattr(ngram_join, name, value, raising=False)
+    rng, keep, made = random.Random(6), ngram_join.stored, []
+
+    def counted(df, name):
+        table = keep(df, name)
+        if name == "pairs":
+            made.append(table.count())
+        return table
+
+    monkeypatch.setattr(ngram_join, "stored", counted)
+    docs = []
+    for i in range(150):
+        w = [f"w{k}" for k in range(100)]
+        for k in rng.sample(range(100), rng.choice((4, 14))):
+            w[k] = f"x{i}y{k}"
+        docs.append((i, " ".join(w)))
+    docs += [(150 + i, docs[i][1]) for i in range(20)] + [(200 + i, t) for i, t in near_docs(rng, 60)]
+    want = pairs_of(docs, ngram_join.WORDS, ngram_join.THRESHOLD)
+    links = {i: sum(i in pair for pair in want) for i, _ in docs}
+    frame_ = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r.doc_id: r.links for r in ngram_join.classes(frame_).collect()} == links
+    assert sum(made) < 150 * 149 / 2 / 4
+    assert {(r.id_a, r.id_b): r.jaccard for r in ngram_join.similar(frame_).collect()} == want
