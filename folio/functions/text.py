@@ -5,10 +5,17 @@ Word characters are Unicode letters, digits and the underscore throughout.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once: a column that a lambda uses is computed anew for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def squeezed(text: Column) -> Column:
     """White space (Unicode) collapsed to single blanks, trimmed."""
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
@@ -16,7 +23,8 @@ def squeezed(text: Column) -> Column:
 
 def stripped(text: Column) -> Column:
     """Without white space (Unicode) at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    ends = F.concat(F.substring(text, 1, 1), F.substring(text, -1, 1))
+    return F.when(ends.rlike(r"(?U)\s"), F.regexp_replace(text, r"(?U)^\s+|\s+$", "")).otherwise(text)
 
 
 def tokens(text: Column) -> Column:
@@ -26,7 +34,7 @@ def tokens(text: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     """The tokens made of a to z alone."""
-    return F.filter(tokens(text), lambda w: w.rlike("^[a-z]+$"))
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_])[a-z]++(?![\p{L}\p{N}_])"), 0)
 
 
 def parts(text: Column) -> Column:
@@ -83,6 +91,11 @@ def count_of(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def count_with(text: Column, lower: Column, part: str, pattern: str) -> Column:
+    """As `count_of`, looking for the pattern only where the lower-case text holds `part`, which all its matches do."""
+    return F.when(~F.contains(lower, F.lit(part)), 0).otherwise(count_of(text, pattern))
+
+
 def ngrams(words: Column, n: int) -> Column:
     """All runs of `n` words joined by blanks; none of fewer words.
 

@@ -37,14 +37,16 @@ def bibliography_b(column: Column) -> Column:
 
 def artifacts(column: Column) -> Column:
     """How often any artifact occurs."""
-    return reduce(lambda a, b: a + b, [text.count_of(column, "(?i)" + p) for p in lexicons.ARTIFACTS])
+    return reduce(lambda a, b: a + b, [text.count_with(column, F.lower(column), part, "(?i)" + p) for p, part in zip(lexicons.ARTIFACTS, lexicons.ARTIFACT_PARTS)])
 
 
 def without_artifacts(column: Column) -> Column:
     """Artifacts removed in order, wide gaps narrowed to two blanks, stripped."""
+    less, lower = column, F.lower(column)
     for p in lexicons.ARTIFACTS:
-        column = F.regexp_replace(column, "(?i)" + p, "")
-    return text.stripped(F.regexp_replace(column, r"\s{3,}", "  "))
+        less = F.regexp_replace(less, "(?i)" + p, "")
+    some = reduce(lambda a, b: a | b, [F.contains(lower, F.lit(part)) for part in dict.fromkeys(lexicons.ARTIFACT_PARTS)])
+    return text.let(F.regexp_replace(F.when(some, less).otherwise(column), r"\s{3,}", "  "), text.stripped)
 
 
 def paragraphs(docs: DataFrame, separator: str = "\n") -> DataFrame:
@@ -68,8 +70,12 @@ def kept_paragraphs(rows: DataFrame, least: int = 20) -> DataFrame:
 
 def sample_outcome(column: Column, longest: int = 4000) -> Column:
     """contaminated, too_short, too_long or kept."""
-    clean = F.length(without_artifacts(column))
-    return F.when(artifacts(column) > 3, "contaminated").when(clean < 50, "too_short").when(clean > longest, "too_long").otherwise("kept")
+    return outcome(artifacts(column), F.length(without_artifacts(column)), longest)
+
+
+def outcome(found: Column, clean: Column, longest: int = 4000) -> Column:
+    """`sample_outcome` from the artifacts and the length without them."""
+    return F.when(found > 3, "contaminated").when(clean < 50, "too_short").when(clean > longest, "too_long").otherwise("kept")
 
 
 def section(column: Column) -> Column:

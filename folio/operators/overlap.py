@@ -79,7 +79,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 4096)
 
 
 def gate(match: DataFrame, most: int = 12, similar: float = 0.88) -> DataFrame:
-    """`fallback` and its `reason` from max_match and top1."""
+    """`fallback` and its `reason` from max_match and top1; the similarity rounds as the number itself, not as its shortest digits (0.565 to 0.56)."""
     runs, near = F.col("max_match") >= most, F.col("top1") >= similar
-    reason = F.concat_ws("; ", F.when(runs, F.format_string("ngram match %d", "max_match")), F.when(near, F.format_string("embedding similarity %.2f", "top1")))
+    reason = F.concat_ws("; ", F.when(runs, F.format_string("ngram match %d", "max_match")), F.when(near, F.concat(F.lit("embedding similarity "), F.call_function("format_number", F.col("top1"), F.lit("0.00")))))
     return match.withColumn("fallback", F.coalesce(runs, F.lit(False)) | F.coalesce(near, F.lit(False))).withColumn("reason", reason)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from folio.functions import lexicons, text
 
 PASSIVE = r"(?i)\b(was|were|been|being|is|are)\s+[\p{L}\p{N}_]+ed\b"
 HEDGE = r"(?i)\b(may|might|could|possibly|potentially|likely|suggest|appear|seem)\b"
+#: The same matches, found sooner: first the letter that a match begins with.
+PASSIVE_FAST, HEDGE_FAST = "(?i)(?=[wbia])" + PASSIVE[4:], "(?i)(?=[mcplsa])" + HEDGE[4:]
 
 
 def _words(words: list[str]) -> Column:
@@ -21,41 +26,82 @@ def _found(tokens: Column, words: list[str]) -> Column:
     return F.size(F.filter(tokens, lambda w: w.isin(words)))
 
 
+def _entropies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, h): entropy in bits of the character pairs of each text; null of a null text and below two characters."""
+    for batch in batches:
+        texts = batch.column(1).to_pylist()
+        codes = np.frombuffer("".join(x or "" for x in texts).encode("utf-32-le"), np.uint32)
+        seen = np.zeros(int(codes.max()) + 1 if len(codes) else 1, bool)
+        seen[codes] = True
+        code, kinds, at, out = (np.cumsum(seen) - 1)[codes], int(seen.sum()), 0, []
+        for x in texts:
+            own, at = code[at : at + len(x or "")], at + len(x or "")
+            if len(own) < 2:
+                out.append(None)
+                continue
+            pairs = own[:-1] * kinds + own[1:]
+            k = np.bincount(pairs) if kinds * kinds <= 1 << 16 else np.unique(pairs, return_counts=True)[1]
+            k = k[k > 0].astype(float)
+            out.append(float(np.log2(len(pairs)) - (k * np.log2(k)).sum() / len(pairs)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], ["doc_id", "h"])
+
+
 def perplexity(docs: DataFrame) -> DataFrame:
-    """(doc_id, perplexity): 3.5 times two to the entropy of the lower text's character pairs; 30 below 50 characters."""
+    """(doc_id, perplexity): 3.5 times two to the entropy of the lower text's character pairs; 30 below 50 characters.
+
+    Rows that repeat an id have the entropy of all their pairs together, a null id has 30.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    each = docs.select("doc_id", F.when(F.col("doc_id").isNotNull() & (F.length("text") >= 50), F.lower("text")).alias("text")).mapInArrow(_entropies, f"doc_id {kind}, h double")
+    repeated = F.broadcast(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("_k")).where("_k > 1 AND doc_id IS NOT NULL").select("doc_id"))
+    rows = each.join(_entropy_by_id(docs.join(repeated, "doc_id", "left_semi")).withColumnRenamed("h", "_h"), "doc_id", "left")
+    return rows.select("doc_id", F.coalesce(F.round(F.lit(3.5) * F.pow(F.lit(2.0), F.coalesce("_h", "h")), 2), F.lit(30.0)).alias("perplexity"))
+
+
+def _entropy_by_id(docs: DataFrame) -> DataFrame:
+    """(doc_id, h) of the character pairs of all rows of an id."""
     chars = docs.select("doc_id", F.length("text").alias("n"), F.filter(F.split(F.lower("text"), ""), lambda c: c != "").alias("c"))
     pairs = chars.where("n >= 50").select("doc_id", F.explode(F.zip_with(F.slice("c", F.lit(1), F.size("c") - 1), F.slice("c", F.lit(2), F.size("c") - 1), lambda a, b: F.concat(a, b))).alias("p"))
     counts = pairs.groupBy("doc_id", "p").agg(F.count(F.lit(1)).cast("double").alias("k"))
-    entropy = counts.groupBy("doc_id").agg((F.log2(F.sum("k")) - F.sum(F.col("k") * F.log2("k")) / F.sum("k")).alias("h"))
-    return docs.select("doc_id").join(entropy, "doc_id", "left").select("doc_id", F.coalesce(F.round(F.lit(3.5) * F.pow(F.lit(2.0), F.col("h")), 2), F.lit(30.0)).alias("perplexity"))
+    return counts.groupBy("doc_id").agg((F.log2(F.sum("k")) - F.sum(F.col("k") * F.log2("k")) / F.sum("k")).alias("h"))
 
 
 def burstiness(column: Column) -> Column:
     """Variation of the sentence lengths; 0.35 of fewer than three sentences with words."""
     lengths = F.filter(F.transform(text.detector_sentences(column), lambda s: F.size(text.plain_words(s)).cast("double")), lambda n: n > 0)
-    n = F.size(lengths)
-    mean = F.aggregate(lengths, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.aggregate(F.transform(lengths, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x) / n
-    return F.when(n < 3, 0.35).otherwise(F.round(F.sqrt(spread) / mean, 3))
+
+    def varied(n: Column) -> Column:
+        spread = lambda mean: F.aggregate(n, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / F.size(n)
+        return F.when(F.size(n) < 3, 0.35).otherwise(text.let(F.aggregate(n, F.lit(0.0), lambda a, x: a + x) / F.size(n), lambda mean: F.round(F.sqrt(spread(mean)) / mean, 3)))
+
+    return text.let(lengths, varied)
 
 
 def diversity(words: Column) -> Column:
     """Mean share of distinct words in windows of 100, every 50; 0.5 below 20 words."""
-    n = F.size(words)
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(n - 100, F.lit(0)), F.lit(50)), lambda i: F.size(F.array_distinct(F.slice(words, i + 1, 100))) / F.lit(100.0))
-    mean = F.aggregate(windows, F.lit(0.0), lambda a, x: a + x) / F.size(windows)
-    return F.when(n < 20, 0.5).when(n <= 100, F.round(F.size(F.array_distinct(words)) / n, 3)).otherwise(F.round(mean, 3))
+
+    def varied(w: Column) -> Column:
+        n = F.size(w)
+        windows = F.transform(F.sequence(F.lit(0), F.greatest(n - 100, F.lit(0)), F.lit(50)), lambda i: F.size(F.array_distinct(F.slice(w, i + 1, 100))) / F.lit(100.0))
+        mean = text.let(windows, lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y) / F.size(x))
+        return F.when(n < 20, 0.5).when(n <= 100, F.round(F.size(F.array_distinct(w)) / n, 3)).otherwise(F.round(mean, 3))
+
+    return text.let(words, varied)
+
+
+def _hits(column: Column, name: str, pattern: str) -> Column:
+    return text.count_with(column, F.lower(column), lexicons.PARTS[name], "(?i)" + pattern)
 
 
 def pattern_score(column: Column) -> Column:
     """Weights of the phrases found, each up to three times, at most 1."""
-    parts = [F.least(text.count_of(column, "(?i)" + p), F.lit(3)) * F.lit(w) for _, p, w in lexicons.PATTERNS]
+    parts = [F.least(_hits(column, name, p), F.lit(3)) * F.lit(w) for name, p, w in lexicons.PATTERNS]
     return F.least(F.lit(1.0), reduce(lambda a, b: a + b, parts))
 
 
 def pattern_issues(column: Column) -> Column:
     """The names of the phrases found, in the lexicon's order."""
-    return F.filter(F.array(*(F.when(text.count_of(column, "(?i)" + p) > 0, name) for name, p, _ in lexicons.PATTERNS)), lambda x: x.isNotNull())
+    return F.filter(F.array(*(F.when(_hits(column, name, p) > 0, name) for name, p, _ in lexicons.PATTERNS)), lambda x: x.isNotNull())
 
 
 def _falling(x: Column, low: float, high: float) -> Column:
@@ -90,10 +136,11 @@ def metrics(docs: DataFrame) -> DataFrame:
     rows = docs.where(F.length("text") >= 50).select("doc_id", "text", text.plain_words(F.col("text")).alias("w"), F.transform(text.clauses(F.col("text")), lambda s: F.size(text.tokens(s)).cast("double")).alias("s")).where("size(w) > 0 AND size(s) > 0")
     n, k = F.size("w"), F.size("s")
     mean = F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / k
+    variance = text.let(mean, lambda m: F.aggregate("s", F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / k)
     pairs = F.zip_with(F.slice("w", F.lit(1), n - 1), F.slice("w", F.lit(2), n - 1), lambda a, b: a.isin(lexicons.AUXILIARIES) & b.isin(lexicons.PASSIVE_VERBS))
     return rows.select(
         "doc_id", F.round(mean, 4).alias("sentence_mean"), F.array_max("s").cast("long").alias("sentence_max"),
-        F.round(F.aggregate(F.transform("s", lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x) / k, 4).alias("sentence_variance"),
+        F.round(variance, 4).alias("sentence_variance"),
         F.round(F.size(F.array_distinct("w")) / n, 4).alias("richness"),
         *(F.round(_found(F.col("w"), words) / n * 100, 4).alias(name) for name, words in (("discourse", lexicons.DISCOURSE), ("subordination", lexicons.SUBORDINATORS), ("hedging", lexicons.HEDGES), ("precision", lexicons.PRECISION))),
         F.when(n < 2, 0).otherwise(F.size(F.filter(pairs, lambda x: x))).cast("long").alias("passive"),
@@ -152,8 +199,8 @@ def structure(docs: DataFrame) -> DataFrame:
     """One row: passive and question shares, hedges per 100 words, citation style, sentences per text."""
     s = text.fingerprint_sentences(F.col("text"))
     rows = docs.select(
-        F.size(s).alias("s"), F.size(F.filter(s, lambda x: x.rlike(PASSIVE))).alias("p"), F.size(F.filter(s, lambda x: F.contains(x, F.lit("?")))).alias("q"),
-        text.count_of(F.col("text"), HEDGE).alias("h"), F.size(text.plain_words(F.col("text"))).alias("w"),
+        F.size(s).alias("s"), F.size(F.filter(s, lambda x: x.rlike(PASSIVE_FAST))).alias("p"), F.size(F.filter(s, lambda x: F.contains(x, F.lit("?")))).alias("q"),
+        text.count_of(F.col("text"), HEDGE_FAST).alias("h"), F.size(text.plain_words(F.col("text"))).alias("w"),
         F.col("text").rlike(r"\([A-Z][a-z]+(\s+(et al\.)?)?,?\s*[0-9]{4}\)").cast("int").alias("a"), F.col("text").rlike(r"\[[0-9]+\]").cast("int").alias("b"),
     )
     share = lambda x, y, d: F.round(F.when(F.sum(y) > 0, F.sum(x) / F.sum(y)).otherwise(0.0), d)
@@ -198,7 +245,7 @@ def closeness(docs: DataFrame, style: DataFrame) -> DataFrame:
     mean = F.aggregate("n", F.lit(0.0), lambda a, x: a + x) / F.size("n")
     near = F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(mean - F.col("mean_length")) / (F.col("deviation") * 2))
     overlap = lambda words: F.when(F.size(words) > 0, F.least(F.lit(1.0), F.size(F.array_intersect("w", words)) / F.size(words).cast("double") * 2))
-    share = text.count_of(F.col("text"), PASSIVE) / F.greatest(F.size("n"), F.lit(1)).cast("double")
+    share = text.count_of(F.col("text"), PASSIVE_FAST) / F.greatest(F.size("n"), F.lit(1)).cast("double")
     parts = F.array(
         F.when((F.size("n") > 0) & (F.col("deviation") > 0), near), overlap("verbs"), overlap("transitions"),
         F.when(F.col("passive_ratio") > 0, F.greatest(F.lit(0.0), F.lit(1.0) - F.abs(share - F.col("passive_ratio")) * 2)),

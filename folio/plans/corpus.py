@@ -107,7 +107,8 @@ def reference_scores(spark, d):
 
 def artifact_clean(spark, d):
     """Artifacts of every document, its length without them, and what becomes of it as a sample."""
-    return _cited(_docs(spark, d)).select("doc_id", filters.artifacts(F.col("text")).cast("long").alias("artifacts"), F.length(filters.without_artifacts(F.col("text"))).alias("length"), filters.sample_outcome(F.col("text")).alias("outcome"))
+    rows = _cited(_docs(spark, d)).select("doc_id", filters.artifacts(F.col("text")).cast("long").alias("artifacts"), F.length(filters.without_artifacts(F.col("text"))).alias("length"))
+    return rows.select("*", filters.outcome(F.col("artifacts"), F.col("length")).alias("outcome"))
 
 
 def sample_filter_accounting(spark, d):

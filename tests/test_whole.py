@@ -1,11 +1,14 @@
 """The whole of jobs that were once done in part, against plain Python."""
 
+import math
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import chunking, stylometry, telemetry, trainset
+from folio.functions import lexicons, text
+from folio.operators import chunking, filters, stylometry, telemetry, trainset
 
 
 def _size(s):
@@ -134,3 +137,46 @@ def test_oom_fallback_matches_its_sql(spark):
     con.execute("CREATE VIEW part AS SELECT * FROM '/root/testdata/sf0.001/part.parquet'")
     rows = registry.QUERIES["oom_fallback"](spark, "/root/testdata/sf0.001").collect()
     assert sorted(map(tuple, rows)) == sorted(con.execute(registry.ORACLES["oom_fallback"]).fetchall())
+
+
+def test_scores_of_a_text_of_many_sentences_take_one_pass(spark):
+    draw = random.Random(4)
+    body = " ".join(" ".join(draw.choice(("cell", "growth", "rate", "x1", "naïve")) for _ in range(draw.randrange(1, 12))) + "." for _ in range(4000))
+    lengths = [n for n in (sum(w.isascii() and w.isalpha() for w in s.split()) for s in body.rstrip(".").split(". ") if len(s.strip()) > 3) if n]
+    mean = sum(lengths) / len(lengths)
+    want = round((sum((n - mean) ** 2 for n in lengths) / len(lengths)) ** 0.5 / mean, 3)
+    start = time.time()
+    r = stylometry.scores(spark.createDataFrame([(1, body)], "doc_id long, text string")).first()
+    assert abs(r.burstiness - want) < 0.0011 and time.time() - start < 60
+
+
+def _perplexity(texts):
+    pairs = [t.lower()[i : i + 2] for t in texts if len(t) >= 50 for i in range(len(t) - 1)]
+    if not pairs:
+        return 30.0
+    return round(3.5 * 2 ** -sum(pairs.count(p) / len(pairs) * math.log2(pairs.count(p) / len(pairs)) for p in set(pairs)), 2)
+
+
+def test_perplexity_makes_no_row_for_each_pair(spark):
+    rows = [(1, "Añb 😀 cd " * 12), (2, "short"), (3, None), (4, "abcabd" * 20), (4, "xyzzy " * 15), (None, "w" * 80), (5, "q" * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted((i or 0, 30.0 if i is None else _perplexity([t for k, t in rows if k == i and t])) for i, _ in rows)
+    assert sorted((r.doc_id or 0, r.perplexity) for r in stylometry.perplexity(docs).collect()) == want
+    plan = docs.where("doc_id = 1").transform(stylometry.perplexity)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan
+
+
+def test_phrases_are_found_as_without_the_words_looked_for_first(spark):
+    found = [
+        "firstly, a secondly, b thirdly, c", "A WIDE ARRAY OF", "It Is Important To Note", "it is worth noting that", "IT SHOULD BE NOTED", "plays a vital role", "Additionally", "consequently", "FURTHERMORE", "moreover", "facilitates", "Leveraged", "utilized",
+        "This journal is © The Royal Society of Chemistry 2019", "Nat Prod Rep", "natural product reports", "This article is licensed under a Creative Commons", "Downloaded by X y on 1/2/2019 1:02:03 AM.", "downloaded by Universiteit Leiden x.",
+        "Downloaded by University of X.", "Published on 01 May 2019.", "View Article Online", "DOI: 10.1039/c9", "WWW.RSC.org/npr", "Who may suggest it. They Were analysed", None, "", "  x  ",
+    ]
+    docs, t = spark.createDataFrame([(x,) for x in found], "text string"), F.col("text")
+    count = lambda p: F.regexp_count(t, F.lit(p))
+    for got, patterns in ((filters.artifacts(t), lexicons.ARTIFACTS), (F.size(stylometry.pattern_issues(t)), [p for _, p, _ in lexicons.PATTERNS])):
+        for r in docs.select(got.alias("got"), *(count("(?i)" + p).alias(f"p{i}") for i, p in enumerate(patterns))).collect():
+            assert r.got in (None, sum(r[1:]), sum(x > 0 for x in r[1:])) if r[1] is not None else r.got in (None, 0)
+    for fast, slow in ((stylometry.PASSIVE_FAST, stylometry.PASSIVE), (stylometry.HEDGE_FAST, stylometry.HEDGE)):
+        assert all(r[0] == r[1] for r in docs.select(count(fast), count(slow)).collect())
+    assert [r[0] for r in docs.select(text.stripped(t)).collect()][-1] == "x"
