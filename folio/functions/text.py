@@ -34,7 +34,7 @@ def tokens(text: Column) -> Column:
 
 def plain_words(text: Column) -> Column:
     """The tokens made of a to z alone."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?<![\p{L}\p{N}_])[a-z]++(?![\p{L}\p{N}_])"), 0)
+    return F.array_remove(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z]++)(?![\p{L}\p{N}_])|[\p{L}\p{N}_]++"), 1), "")
 
 
 def parts(text: Column) -> Column:
@@ -47,9 +47,10 @@ def sentences(text: Column, abbreviations: str, least: int) -> Column:
 
     A dot and white space after one of the abbreviations ends no sentence.
     """
-    kept = F.regexp_replace(text, rf"\b({abbreviations})\.\s", "$1<DOT> ")
-    pieces = F.filter(F.split(kept, r"[.!?]+\s+"), lambda s: F.length(stripped(s)) > least)
-    return F.transform(pieces, lambda s: stripped(F.replace(s, F.lit("<DOT>"), F.lit("."))))
+    first = "".join(sorted({a[0] for a in abbreviations.split("|")}))  # looked for before the word
+    kept = F.regexp_replace(text, rf"(?=[{first}])\b({abbreviations})\.\s", "$1<DOT> ")
+    pieces = F.filter(F.transform(F.split(kept, r"[.!?]+\s+"), stripped), lambda s: F.length(s) > least)
+    return F.transform(pieces, lambda s: F.replace(s, F.lit("<DOT>"), F.lit(".")))
 
 
 DETECTOR = r"Dr|Mr|Mrs|Ms|Prof|et al|i\.e|e\.g|vs|etc|Fig|Eq"

@@ -64,13 +64,29 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 4096)
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, numbers, other, others = (np.asarray(batch.column(c)[row].values) for c in range(4))
-                score = np.round(numbers.reshape(len(ids), -1) @ others.reshape(len(other), -1).T, 5)
-                score[ids[:, None] == other[None, :]] = -np.inf
-                best = np.argsort(-score, axis=1, kind="stable")[:, :k]  # ids ascend, so ties go to the lesser
-                value = np.take_along_axis(score, best, 1).ravel()
-                some = np.isfinite(value)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])[some]), pa.array(other[best].ravel()[some]), pa.array(value[some])], ["query_id", "vec_id", "similarity"])
-
+                left, right = numbers.reshape(len(ids), -1), others.reshape(len(other), -1).T
+                for at in range(0, len(ids), rows):  # a product of some rows stays in the cache
+                    own = ids[at : at + rows]
+                    score = left[at : at + rows] @ right
+                    low, high = np.searchsorted(other, own), np.searchsorted(other, own, "right")
+                    for i in np.flatnonzero(high > low):
+                        score[i, low[i] : high[i]] = -np.inf
+                    if np.isnan(score.sum()):
+                        score[np.isnan(score)] = -np.inf
+                    if k < len(other):  # rounding moves a score by half a step at most: what may be among the best k
+                        least = np.partition(score, len(other) - k, axis=1)[:, len(other) - k] - 1.1e-5
+                        who, where = np.nonzero(score >= least[:, None])
+                    else:
+                        who, where = np.nonzero(score > -np.inf)
+                    value = np.round(score[who, where], 5)
+                    some = np.isfinite(value)
+                    who, where, value = who[some], where[some], value[some]
+                    order = np.lexsort((other[where], -value, who))
+                    who, where, value = who[order], where[order], value[order]
+                    kept = np.arange(len(who)) - np.searchsorted(who, who) < k
+                    yield pa.RecordBatch.from_arrays([pa.array(own[who[kept]]), pa.array(other[where[kept]]), pa.array(value[kept])], ["query_id", "vec_id", "similarity"])
+
+    rows = 64
     one = _blocks(queries, block).repartition(64)
     two = _blocks(vectors, block).select(F.col("ids").alias("other"), F.col("numbers").alias("others"))
     hits = one.crossJoin(two).mapInArrow(match, "query_id long, vec_id long, similarity double")

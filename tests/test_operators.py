@@ -160,3 +160,24 @@ def test_rest_stands_without_llm(tmp_path):
     shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
     code = "import __spark_entry__ as e; assert len(e.queries()) > 50 and not any(n.startswith('op') and n[2].isdigit() for n in e.queries())"
     assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}).returncode == 0
+
+
+def test_gate_writes_similarities_as_printf_does(spark):
+    values = [0.565, 0.545, 0.625, 0.875, 0.515, 0.575, 0.995, 1.005, 2.5, 1234.565]
+    rows = spark.createDataFrame([(i, 9, v) for i, v in enumerate(values)], "doc_id long, max_match int, top1 double")
+    got = [r.reason for r in overlap.gate(rows, 8, 0.5).orderBy("doc_id").collect()]
+    assert got == [f"ngram match 9; embedding similarity {v:.2f}" for v in values]
+
+
+def test_top_k_of_ties_and_repeated_ids(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    vectors = [(int(i), [float(x) for x in rng.integers(-2, 3, 6) / 4]) for i in range(150)] + [(3, [0.5] * 6)]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    want = set()
+    for i, v in vectors:
+        near = sorted((-round(sum(a * b for a, b in zip(v, w)), 5), j) for j, w in vectors if j != i)[:5]
+        want |= {(i, j, -s, rank + 1) for rank, (s, j) in enumerate(near) if i != 3}
+    got = {tuple(r) for r in overlap.top_k(frame, frame, 5, 40).collect()}
+    assert {r for r in got if r[0] != 3} == want and 3 not in {r[1] for r in got if r[0] == 3}
