@@ -65,30 +65,41 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, block: int = 4096)
             for row in range(batch.num_rows):
                 ids, numbers, other, others = (np.asarray(batch.column(c)[row].values) for c in range(4))
                 left, right = numbers.reshape(len(ids), -1), others.reshape(len(other), -1).T
-                for at in range(0, len(ids), rows):  # a product of some rows stays in the cache
-                    own = ids[at : at + rows]
-                    score = left[at : at + rows] @ right
-                    low, high = np.searchsorted(other, own), np.searchsorted(other, own, "right")
-                    for i in np.flatnonzero(high > low):
-                        score[i, low[i] : high[i]] = -np.inf
-                    if np.isnan(score.sum()):
-                        score[np.isnan(score)] = -np.inf
-                    if k < len(other):  # rounding moves a score by half a step at most: what may be among the best k
-                        least = np.partition(score, len(other) - k, axis=1)[:, len(other) - k] - 1.1e-5
-                        who, where = np.nonzero(score >= least[:, None])
-                    else:
-                        who, where = np.nonzero(score > -np.inf)
-                    value = np.round(score[who, where], 5)
-                    some = np.isfinite(value)
-                    who, where, value = who[some], where[some], value[some]
-                    order = np.lexsort((other[where], -value, who))
-                    who, where, value = who[order], where[order], value[order]
+                for at in range(0, len(ids), rows):
+                    own, best, found = ids[at : at + rows], None, []
+                    for start in range(0, len(other), part):  # a product of some rows and columns stays in the cache
+                        names = other[start : start + part]
+                        score = left[at : at + rows] @ right[:, start : start + part]
+                        low, high = np.searchsorted(names, own), np.searchsorted(names, own, "right")
+                        for i in np.flatnonzero(high > low):
+                            score[i, low[i] : high[i]] = -np.inf
+                        if best is None:
+                            if np.isnan(score.sum()):
+                                score[np.isnan(score)] = -np.inf
+                            n = min(k, score.shape[1])
+                            best = np.full((len(own), k), -np.inf)
+                            best[:, :n] = -np.partition(-score, n - 1, axis=1)[:, :n]
+                        # rounding moves a score by half a step at most: what may be among the best k
+                        flat = np.flatnonzero(score >= (best.min(axis=1) - 1.1e-5)[:, None])
+                        who, where = np.divmod(flat, score.shape[1])
+                        value = score.ravel()[flat]
+                        some = np.isfinite(value)
+                        who, where, value = who[some], where[some], value[some]
+                        found.append((who, names[where], np.round(value, 5)))
+                        if start:
+                            both, owner = np.concatenate([best.ravel(), value]), np.concatenate([np.repeat(np.arange(len(own)), k), who])
+                            order = np.lexsort((-both, owner))
+                            first = np.searchsorted(owner[order], np.arange(len(own)))
+                            best = both[order][first[:, None] + np.arange(k)]
+                    who, hit, value = (np.concatenate(x) for x in zip(*found))
+                    order = np.lexsort((hit, -value, who))
+                    who, hit, value = who[order], hit[order], value[order]
                     kept = np.arange(len(who)) - np.searchsorted(who, who) < k
-                    yield pa.RecordBatch.from_arrays([pa.array(own[who[kept]]), pa.array(other[where[kept]]), pa.array(value[kept])], ["query_id", "vec_id", "similarity"])
+                    yield pa.RecordBatch.from_arrays([pa.array(own[who[kept]]), pa.array(hit[kept]), pa.array(value[kept])], ["query_id", "vec_id", "similarity"])
 
-    rows = 64
+    rows, part = 64, max(1, block // 2)
     one = _blocks(queries, block).repartition(64)
-    two = _blocks(vectors, block).select(F.col("ids").alias("other"), F.col("numbers").alias("others"))
+    two = _blocks(vectors, 4 * block).select(F.col("ids").alias("other"), F.col("numbers").alias("others"))
     hits = one.crossJoin(two).mapInArrow(match, "query_id long, vec_id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id"))
     return hits.withColumn("rank", rank).where(F.col("rank") <= k)
